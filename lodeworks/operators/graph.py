@@ -23,12 +23,12 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     )
     before = None
     while True:
-        print_ = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(print_) == before or print_[0] == 0:
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if tuple(now) == before or now[0] == 0:
             break
-        before = tuple(print_)
+        before = tuple(now)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
