@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import exact_dedup, simhash
+from lodeworks.llm import byte_bpe, exact_dedup, language_id, simhash
 from lodeworks.sources.tables import table
 
+#: Rank files; their places can be given anew here.
+BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, byte_bpe.load_ranks(PIECE_RANKS))
+    rows = docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language_id.predict(rows, model).drop("text")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), byte_bpe.load_ranks(BPE_RANKS), public_tokenizers.PATTERN)
+
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
@@ -19,6 +35,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_language_id": op5_language_id,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
