@@ -20,14 +20,15 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lodeworks.llm.arrow import add_columns
 
 LONG, REMEMBERED, PAIRS = 64, 300_000, 1_000_000
 
@@ -222,21 +223,14 @@ def _codec(rank_file: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _mapped(docs: DataFrame, source: str, to: str, rank_file: bytes, pattern: str, method: str, rows: int = 512) -> DataFrame:
-    """Add binary column ``to``, made from column ``source``, a few rows at a time."""
+def _mapped(docs: DataFrame, source: str, to: str, rank_file: bytes, pattern: str, method: str) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(rank_file)
-    kept = [c for c in docs.columns if c != to]
-    at, names = kept.index(source), [*kept, to]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def factory() -> Callable[[list], list[list]]:
         make = getattr(_codec(shipped.value, pattern), method)
-        for whole in batches:
-            for start in range(0, len(whole), rows):
-                b = whole.slice(start, rows)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(make(b.column(at).to_pylist()), pa.binary())], names=names)
+        return lambda values: [make(values)]
 
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(to, T.BinaryType())])
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(work, schema)
+    return add_columns(docs, source, {to: pa.binary()}, factory)
 
 
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:

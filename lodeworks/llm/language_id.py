@@ -22,7 +22,7 @@ Ties go to the language first in order. Without labelled rows every text is ``un
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lodeworks.llm.arrow import add_columns
 from lodeworks.llm.byte_bpe import read_ranks
 
 LONGEST, BLOCK, REMEMBERED = 8, 32, 400_000
@@ -178,22 +178,15 @@ class Scorer:
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Add lang_pred and score, from the text alone."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept))
     if model is None:
-        return rows.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
-    shipped, at = docs.sparkSession.sparkContext.broadcast(model), kept.index(text)
+        return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def factory() -> Callable[[list], list[list]]:
         scorer = Scorer(shipped.value)
-        for whole in batches:
-            for start in range(0, len(whole), 512):
-                b = whole.slice(start, 512)
-                lang, score = zip(*scorer.score(b.column(at).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
-
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(work, schema)
+        return lambda texts: list(zip(*scorer.score(texts), strict=True))
+
+    return add_columns(docs, text, {"lang_pred": pa.string(), "score": pa.float64()}, factory)
 
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:

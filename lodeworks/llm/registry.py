@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import byte_bpe, exact_dedup, language_id, simhash
+from lodeworks.llm import byte_bpe, chat_format, exact_dedup, language_id, simhash, url_filter
 from lodeworks.sources.tables import table
 
 #: Rank files; their places can be given anew here.
@@ -14,6 +14,22 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: (host, path, verdict) of the rules for ``pages``.
+URL_RULES = [
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.digests(chat_format.format_chats(rows))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, byte_bpe.load_ranks(PIECE_RANKS))
@@ -30,18 +46,39 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 QUERIES = {
+    "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
+    "op8_url_filter": op8_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE = {
+    "op4_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(role) + length(text) + 16
+    + 2 * length(role || text) - length(replace(role || text, '\', '')) - length(replace(replace(replace(role || text, '<', ''), '[', ''), '|', '')) AS n
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
     "op10_exact_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
