@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import byte_bpe, chat_format, exact_dedup, language_id, simhash, url_filter
+from lodeworks.llm import byte_bpe, chat_format, exact_dedup, language_id, line_dedup, simhash, url_filter
 from lodeworks.sources.tables import table
 
 #: Rank files; their places can be given anew here.
@@ -14,6 +14,10 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: (host, path, verdict) of the rules for ``pages``.
 URL_RULES = [
     url_filter.Rule("org", "/", "allow"),
@@ -55,6 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
