@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import byte_bpe, chat_format, exact_dedup, language_id, line_dedup, simhash, url_filter
+from lodeworks.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, simhash, span_dedup, url_filter
 from lodeworks.sources.tables import table
 
 #: Rank files; their places can be given anew here.
@@ -14,6 +14,10 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,17 +58,23 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_k1", "_k2")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 QUERIES = {
+    "op2_span_dedup": op2_span_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
+    "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
