@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, simhash, span_dedup, url_filter
+from lodeworks.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, simhash, span_dedup, token_shards, url_filter
+from lodeworks.sources.shared import shared_path
 from lodeworks.sources.tables import table
 
 #: Rank files; their places can be given anew here.
@@ -14,6 +15,19 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = spark.sparkContext.broadcast(byte_bpe.load_ranks(BPE_RANKS)), public_tokenizers.PATTERN
+
+    def tokenizer():
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(ranks.value), special_tokens={}).encode_ordinary
+
+    path = shared_path(spark, "shards")
+    index = token_shards.materialise(table(spark, sf_dir, "documents"), path, tokenizer, end=50256)
+    return index.withColumn("path", F.lit(path))
+
+
 def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,6 +81,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_shards": op1_token_shards,
     "op2_span_dedup": op2_span_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
