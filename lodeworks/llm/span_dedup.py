@@ -8,8 +8,7 @@ place) stays; a sentence goes when any run over it is not the first of its kind.
 
 Runs are counted by a 64-bit hash with a map-side combine, only those that repeat are dealt out with their places, under
 96 bits. The join of a run with its first place is an equi-join that adaptive execution can split, so one run may be in a third
-of the documents. A small set of repeated hashes is broadcast after a count, a larger one is shuffled. Runs are made anew from the text for each of
-the two passes, which costs less than keeping them.
+of the documents. Nothing is broadcast. Runs are made anew from the text for each of the two passes, which costs less than keeping them.
 
 Defined cases: null and empty texts stay as they are; a text of fewer than ``least_words`` words has no run and stays.
 Documents alike in id and text are one and share the outcome. A null doc_id comes after all others. All rows and columns
@@ -31,7 +30,7 @@ from lodeworks.llm.arrow import add_columns
 from lodeworks.llm.rows import keyed
 from lodeworks.sources.shared import stage
 
-LEAST_WORDS, BROADCAST_ROWS = 20, 1_000_000
+LEAST_WORDS = 20
 _CUT = regex.compile(r"(?<=[.!?])\s+|\n\s*|\s+(?=\p{Lu})")
 
 
@@ -94,8 +93,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(i, k, start, stop, doc): runs that are not the first of their kind, by document row, and where the first is."""
     rows = keyed(docs, doc_id, text).select(F.col(text).alias("_t"), F.col(doc_id).alias("_i"), "_k2").dropna(subset=["_t"])
     again = stage(_spans(rows, False, least).groupBy("h1").count().where("count > 1").select("h1"), "spans")
-    some = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    spans = stage(_spans(rows, True, least).join(some, "h1", "left_semi"), "places")
+    # shuffled at every size: a broadcast would save most of it for a small corpus only
+    spans = stage(_spans(rows, True, least).join(again.hint("merge"), "h1", "left_semi"), "places")
     place = F.struct(F.col("i").isNull().alias("z"), "i", "k", "start")
     first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     return spans.join(first, ["h1", "h2"]).where(place != F.col("first")).select("i", "k", "start", "stop", F.col("first.i").alias("doc"))
