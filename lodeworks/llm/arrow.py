@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 def add_columns(df: DataFrame, source: str, made: dict[str, pa.DataType], factory: Callable[[], Callable[[list], list[list]]], rows: int = 512) -> DataFrame:
     """``df`` with the columns ``made`` (replaced where present), a few rows at a time.
 
-    ``factory`` runs once for a task and gives the function from the values of ``source`` to one list for each column.
+    ``factory`` runs once for a task and gives the function from the values of ``source`` to one list for each column; what
+    the function has as ``finish`` runs at the task's end, as workers live on.
     """
     kept = [c for c in df.columns if c not in made]
     at, names = kept.index(source), [*kept, *made]
@@ -25,6 +26,7 @@ def add_columns(df: DataFrame, source: str, made: dict[str, pa.DataType], factor
                 b = whole.slice(start, rows)
                 new = [pa.array(v, k) for v, k in zip(make(b.column(at).to_pylist()), made.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *new], names=names)
+        getattr(make, "finish", int)()
 
     kinds = {pa.string(): T.StringType(), pa.binary(): T.BinaryType(), pa.float64(): T.DoubleType(), pa.int64(): T.LongType()}
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, kinds[k]) for c, k in made.items())])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.arrow import add_columns
 
-LONG, REMEMBERED, PAIRS = 64, 300_000, 1_000_000
+LONG, REMEMBERED, PAIRS = 64, 150_000, 250_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -206,6 +206,10 @@ class Codec:
             del known[piece]
         return out
 
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.v._known.clear()
+
     def decode(self, ids: list[bytes | None]) -> list[bytes]:
         token = self.v.tokens.__getitem__
         return [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in ids]
@@ -227,8 +231,14 @@ def _mapped(docs: DataFrame, source: str, to: str, rank_file: bytes, pattern: st
     shipped = docs.sparkSession.sparkContext.broadcast(rank_file)
 
     def factory() -> Callable[[list], list[list]]:
-        make = getattr(_codec(shipped.value, pattern), method)
-        return lambda values: [make(values)]
+        codec = _codec(shipped.value, pattern)
+        make = getattr(codec, method)
+
+        def run(values: list) -> list[list]:
+            return [make(values)]
+
+        run.finish = codec.forget
+        return run
 
     return add_columns(docs, source, {to: pa.binary()}, factory)
 

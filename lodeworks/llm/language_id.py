@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lodeworks.llm.arrow import add_columns
 from lodeworks.llm.byte_bpe import read_ranks
 
-LONGEST, BLOCK, REMEMBERED = 8, 32, 400_000
+LONGEST, BLOCK, REMEMBERED = 8, 32, 150_000
 UND = "und"
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
