@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeworks.llm.rows import only
+
 
 def add_columns(df: DataFrame, source: str, made: dict[str, pa.DataType], factory: Callable[[], Callable[[list], list[list]]], rows: int = 512) -> DataFrame:
     """``df`` with the columns ``made`` (replaced where present), a few rows at a time.
@@ -17,7 +18,8 @@ def add_columns(df: DataFrame, source: str, made: dict[str, pa.DataType], factor
     the function has as ``finish`` runs at the task's end, as workers live on.
     """
     kept = [c for c in df.columns if c not in made]
-    at, names = kept.index(source), [*kept, *made]
+    at = kept.index(source)
+    names = [f"c{i}" for i in range(len(kept) + len(made))]  # names with dots can't be mapped
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = factory()
@@ -29,5 +31,5 @@ def add_columns(df: DataFrame, source: str, made: dict[str, pa.DataType], factor
         getattr(make, "finish", int)()
 
     kinds = {pa.string(): T.StringType(), pa.binary(): T.BinaryType(), pa.float64(): T.DoubleType(), pa.int64(): T.LongType()}
-    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, kinds[k]) for c, k in made.items())])
-    return df.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(work, schema)
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, [*(df.schema[c].dataType for c in kept), *map(kinds.get, made.values())], strict=True)])
+    return only(df, kept).toDF(*names[: len(kept)]).mapInArrow(work, schema).toDF(*kept, *made)

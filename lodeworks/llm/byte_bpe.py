@@ -8,7 +8,8 @@ rank file crosses their border, going back through the merges that made them. Th
 re-encoding near an edit (:class:`PrefixEncoder`): tokens before an edit stay, tokens behind it are computed until as
 many as the longest token agree with the former ones.
 
-Texts are split by the tokenizer's pattern, each match is encoded by itself, without special tokens. Pieces are
+Texts are split by the tokenizer's pattern, each match is encoded by itself, without special tokens; letters, numbers
+and white space are what the tiktoken library takes for them, whose Unicode version can be another. Pieces are
 remembered in a table of bounded size for each Python worker (not those longer than ``LONG`` characters); new ones are
 encoded in byte order, each going on from the prefix it shares with the one before. Time is linear in a piece's length.
 
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,14 +185,32 @@ class PrefixEncoder:
         return self.v.walk(self.data, self.last)
 
 
+def stand_ins() -> dict[int, str]:
+    """Code points of which the tiktoken library, of another Unicode version, thinks otherwise: to a character of the class it takes them for."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single, out = {bytes([i]): i for i in range(256)}, {}
+    for kind, sample in ((r"\p{L}", "\u00aa"), (r"\p{N}", "\u00b2"), (r"\s", "\u00a0")):
+        library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        theirs, ours = set(bytes(library.encode_ordinary(every)).decode()), set(regex.findall(kind, every))
+        out |= {ord(c): out.get(ord(c), "\uffff") for c in ours - theirs} | {ord(c): sample for c in theirs - ours}
+    return out
+
+
 class Codec:
     """Encodes and decodes texts; ``pieces`` holds the packed ids of recent pieces."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.v = Vocabulary(read_ranks(rank_file))
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.stand_ins = stand_ins()
+        self.odd = frozenset(map(chr, self.stand_ins))
         self.pieces: dict[str, bytes] = {}
 
+    def split(self, text: str) -> list[str]:
+        if text.isascii() or self.odd.isdisjoint(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_ins))]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.split(t) if t else () for t in texts]
         if len(self.pieces) >= REMEMBERED:

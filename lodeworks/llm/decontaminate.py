@@ -14,7 +14,7 @@ Only hashes of benchmark windows are broadcast, after a count; beyond ``BROADCAS
 shuffled; of documents that match items with slots, the tokens are.
 
 Defined cases: null and empty texts and items match nothing. An item shorter than ``width`` tokens is one window of its own length; one of
-fewer than ``FEWEST`` tokens is not searched. Equal items each give a row. Rows alike in id and text give their rows once.
+fewer than ``FEWEST`` tokens is not searched. Equal items each give a row, a null item_id like any other. Rows alike in id and text give their rows once.
 An empty benchmark contaminates nothing.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.rows import keyed
+from lodeworks.llm.rows import keyed, only
 from lodeworks.sources.shared import stage
 
 WIDTH, FEWEST, LEAST, BROADCAST_ROWS = 8, 5, 0.3, 1_000_000
@@ -54,13 +54,13 @@ def windows(tokens: Column, width: Column | int) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """(_k1, _k2, doc_id, item_id, coverage, reparameterised) of each contaminated document and item."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), template(F.col(item_text)).alias("tokens"), raw_tokens(F.col(item_text)).alias("raw"))
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), template(F.col(item_text)).alias("tokens"), raw_tokens(F.col(item_text)).alias("raw"))
     items = items.where(F.size("tokens") >= FEWEST).withColumn("w", F.least(F.size("tokens"), F.lit(width)))
     items = stage(items.withColumn("slots", F.exists("tokens", lambda t: t.isin(NUMBER, UNIT, NAME))), "items")
-    each = items.select("item_id", "tokens", "w", "slots", F.posexplode(windows(F.col("tokens"), F.col("w"))).alias("ipos", "h"))
+    each = items.select("item", "tokens", "w", "slots", F.posexplode(windows(F.col("tokens"), F.col("w"))).alias("ipos", "h"))
     held = F.size(F.filter(F.slice("tokens", F.col("ipos") + 1, F.col("w")), lambda t: t.isin(NUMBER, UNIT, NAME)))
-    each = stage(each.where(held * 2 <= F.col("w")).select("item_id", "ipos", "h", "w", "slots"), "windows")
-    total = each.groupBy("item_id").agg(F.count("*").alias("windows"))
+    each = stage(each.where(held * 2 <= F.col("w")).select("item", "ipos", "h", "w", "slots"), "windows")
+    total = each.groupBy("item").agg(F.count("*").alias("windows"))
     widths = sorted(r[0] for r in items.select("w").distinct().collect())  # between FEWEST and width
     if not widths:
         widths = [width]
@@ -71,26 +71,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         seen = F.inline(F.concat(*located))
     rows = keyed(docs, doc_id, text).select("_k1", "_k2", F.col(doc_id).alias("doc_id"), template(F.col(text)).alias("tokens"))
     few = each.count() <= BROADCAST_ROWS
-    known = each.select("item_id", "ipos", "h", "slots")
+    known = each.select("item", "ipos", "h", "slots")
     met = rows.select("_k1", "_k2", "doc_id", seen).join(F.broadcast(known) if few else known, "h")
     met = met.withColumn("shift", F.col("dpos") - F.col("ipos"))
-    by = ["_k1", "_k2", "doc_id", "item_id", "shift"]
+    by = ["_k1", "_k2", "doc_id", "item", "shift"]
     met = stage(met.groupBy(*by).agg(F.collect_set("ipos").alias("places"), F.max("slots").alias("slots")), "shifts")
     plain = met.where(~F.col("slots")).select(*by, "places", F.lit(False).alias("changed"))
     with_slots = met.where("slots")
     whom = with_slots.select("_k1", "_k2").distinct()
     near = F.broadcast(whom) if whom.count() <= BROADCAST_ROWS else whom
     words = keyed(docs, doc_id, text).join(near, ["_k1", "_k2"], "left_semi").select("_k1", "_k2", raw_tokens(F.col(text)).alias("doc_raw")).dropDuplicates(["_k1", "_k2"])
-    both = with_slots.join(words, ["_k1", "_k2"]).join(items.select("item_id", "tokens", "raw", "w"), "item_id")
+    both = with_slots.join(words, ["_k1", "_k2"]).join(items.select("item", "tokens", "raw", "w"), "item")
     under = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("w") - 1))))
     marks = F.filter(under, lambda i: F.get("tokens", i).isin(NUMBER, UNIT, NAME))
     slot = F.transform(marks, lambda i: F.struct(F.get("tokens", i).alias("kind"), F.lower(F.get("raw", i)).alias("was"), F.lower(F.get("doc_raw", i + F.col("shift"))).alias("now")))
     both = both.withColumn("s", F.array_distinct(slot))
     single = F.size("s") == F.size(F.array_distinct(F.transform("s", lambda x: F.struct(x["kind"], x["was"]))))
     checked = both.where(single).select(*by, "places", F.exists("s", lambda x: ~x["was"].eqNullSafe(x["now"])).alias("changed"))
-    covered = plain.unionByName(checked).groupBy("_k1", "_k2", "doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("changed").alias("reparameterised"))
+    covered = plain.unionByName(checked).groupBy("_k1", "_k2", "doc_id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("changed").alias("reparameterised"))
     share = F.col("n") / F.col("windows")
-    return covered.join(total, "item_id").where(share >= least).select("_k1", "_k2", "doc_id", "item_id", share.alias("coverage"), "reparameterised")
+    names = items.select("item", "item_id")
+    return covered.join(total, "item").where(share >= least).join(names, "item").select("_k1", "_k2", "doc_id", "item_id", share.alias("coverage"), "reparameterised")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,4 +99,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     found = leaks(docs, benchmark, doc_id, text).select("_k1", "_k2").distinct()
     found = stage(found, "leaks")
     some = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return keyed(docs, doc_id, text).join(some, ["_k1", "_k2"], "left_anti").select(docs.columns)
+    return only(keyed(docs, doc_id, text).join(some, ["_k1", "_k2"], "left_anti"), docs.columns)

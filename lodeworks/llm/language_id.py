@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.arrow import add_columns
 from lodeworks.llm.byte_bpe import read_ranks
+from lodeworks.llm.rows import only
 
 LONGEST, BLOCK, REMEMBERED = 8, 32, 150_000
 UND = "und"
@@ -176,19 +177,19 @@ class Scorer:
             yield self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Add lang_pred and score, from the text alone."""
+def predict(docs: DataFrame, model: Model | None, text: str = "text", to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the language and its score (columns ``to``, replaced where present), from the text alone."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
+        return docs.withColumns({to[0]: F.lit(UND), to[1]: F.lit(0.0)})
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def factory() -> Callable[[list], list[list]]:
         scorer = Scorer(shipped.value)
         return lambda texts: list(zip(*scorer.score(texts), strict=True))
 
-    return add_columns(docs, text, {"lang_pred": pa.string(), "score": pa.float64()}, factory)
+    return add_columns(docs, text, {to[0]: pa.string(), to[1]: pa.float64()}, factory)
 
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:
     """The documents with a language whose posterior is ``least`` or more; columns unchanged."""
-    return predict(docs, model, text).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return only(predict(docs, model, text, ("_lang", "_score")).where((F.col("_lang") != UND) & (F.col("_score") >= least)), docs.columns)

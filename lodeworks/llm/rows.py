@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def only(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names``, whatever characters they hold."""
+    return df.select(*(F.col("`" + n.replace("`", "``") + "`") for n in names))
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``_k1``, ``_k2``: two longs that name a row by its id and text, nulls included.
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.rows import keyed
+from lodeworks.llm.rows import keyed, only
 from lodeworks.operators.graph import connected_components
 from lodeworks.sources.shared import stage
 
@@ -194,4 +194,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     best = components(docs, doc_id, text, width, radius).groupBy("part").agg(F.min(rank).alias("r")).select("r._k1", "r._k2")
     keyed_docs = keyed(docs, doc_id, text)
     # rows alike in id and text are one document
-    return keyed_docs.join(best, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(docs.columns)
+    return only(keyed_docs.join(best, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]), docs.columns)

@@ -102,9 +102,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """All documents and columns, ``text`` without the sentences that go, and ``sentences_removed``."""
-    gone = repeated_spans(docs, doc_id, text, least).groupBy("i", "k").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
+    gone = repeated_spans(docs, doc_id, text, least).groupBy(F.col("i").alias("_gi"), F.col("k").alias("_gk")).agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
     rows = keyed(docs, doc_id, text)
-    rows = rows.join(gone, rows[doc_id].eqNullSafe(gone["i"]) & (rows["_k2"] == gone["k"]), "left").drop("i", "k", "_k1", "_k2")
+    rows = rows.join(gone, F.col(doc_id).eqNullSafe(F.col("_gi")) & (F.col("_k2") == F.col("_gk")), "left").drop("_gi", "_gk", "_k1", "_k2")
     rows = rows.withColumn("_both", F.struct(F.col(text).alias("t"), F.col("_spans").alias("s"))).drop("_spans")
 
     def factory():
