@@ -65,7 +65,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # a row that stays is the largest by (id present, id, row)
     rank = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("row"))
     same = ["recipe", "bytes", "digest"]
-    groups = base.groupBy(*same).agg(F.max(rank).alias("best"), F.count("*").alias("group_size"))
+    # a table, so that what the join reads is dealt out for it alone and can be split
+    groups = stage(base.groupBy(*same).agg(F.max(rank).alias("best"), F.count("*").alias("group_size")), "groups")
     return base.join(groups, same).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
