@@ -107,7 +107,9 @@ def cells(points: DataFrame, level: int) -> DataFrame:
                 cell ^= cell >> np.uint64(29)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().view(np.int64)), pa.array(np.repeat(part, len(masks)).view(np.int64))], names=["cell", "fp"])
 
-    return points.select("fp").mapInArrow(deal, "cell long, fp long")
+    # a point has many cells: without this, adaptive execution puts all points into a few tasks
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return points.select("fp").repartition(parts, "fp").mapInArrow(deal, "cell long, fp long")
 
 
 def _forest(fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
