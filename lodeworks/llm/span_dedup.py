@@ -96,7 +96,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # shuffled at every size: a broadcast would save most of it for a small corpus only
     spans = stage(_spans(rows, True, least).join(again.hint("merge"), "h1", "left_semi"), "places")
     place = F.struct(F.col("i").isNull().alias("z"), "i", "k", "start")
-    first = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    # a table, so that what the join reads is dealt out for it alone and can be split
+    first = stage(spans.groupBy("h1", "h2").agg(F.min(place).alias("first")), "first")
     return spans.join(first, ["h1", "h2"]).where(place != F.col("first")).select("i", "k", "start", "stop", F.col("first.i").alias("doc"))
 
 
