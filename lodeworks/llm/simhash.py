@@ -41,18 +41,23 @@ from lodeworks.sources.shared import stage
 CROWD = 4096
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
+def shingle_hashes(text: str | None, width: int) -> list[int]:
     words = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
     if not words:
-        return 0
+        return []
     if len(words) < width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: len(words) - width] + 1)).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), 42)]
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[: len(words) - width] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = np.array(hashes[at : at + 65536], "<u8").view(np.uint8).reshape(-1, 8)
