@@ -6,7 +6,8 @@ items meet those of the documents by hash. A window with fewer literal words tha
 
 Matches of a document and an item are put together by shift (place in the document less place in the item). Where the
 item's matched windows hold placeholders, slots are checked: along a shift, one value of the item has to stand for one value
-of the document throughout; a shift that contradicts itself doesn't count. A document is contaminated by an item when
+of the document throughout; where it does not, the windows over its slots don't count, the shift's others do. Equal numbers of the
+item may become different ones, as they can be equal by chance; a number kept in one slot and changed in another is a contradiction. A document is contaminated by an item when
 consistent shifts cover ``least`` of the item's windows. A question with other numbers or names is found so
 (``reparameterised``), a text that only shares the pattern of its phrases is not.
 
@@ -84,10 +85,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     both = with_slots.join(words, ["_k1", "_k2"]).join(items.select("item", "tokens", "raw", "w"), "item")
     under = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("w") - 1))))
     marks = F.filter(under, lambda i: F.get("tokens", i).isin(NUMBER, UNIT, NAME))
-    slot = F.transform(marks, lambda i: F.struct(F.get("tokens", i).alias("kind"), F.lower(F.get("raw", i)).alias("was"), F.lower(F.get("doc_raw", i + F.col("shift"))).alias("now")))
-    both = both.withColumn("s", F.array_distinct(slot))
-    single = F.size("s") == F.size(F.array_distinct(F.transform("s", lambda x: F.struct(x["kind"], x["was"]))))
-    checked = both.where(single).select(*by, "places", F.exists("s", lambda x: ~x["was"].eqNullSafe(x["now"])).alias("changed"))
+    key = lambda i: F.struct(F.get("tokens", i).alias("kind"), F.lower(F.get("raw", i)).alias("was"))
+    slot = F.transform(marks, lambda i: F.struct(*(key(i)[k].alias(k) for k in ("kind", "was")), F.lower(F.get("doc_raw", i + F.col("shift"))).alias("now")))
+    both = both.withColumn("marks", marks).withColumn("s", F.array_sort(F.array_distinct(slot)))
+    keys = F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["was"].alias("was")))
+    twice = F.array_distinct(F.filter(keys, lambda x, i: F.coalesce((i > 0) & (F.get(keys, i - 1) == x), F.lit(False))))
+    same = lambda x: F.array_contains("s", F.struct(x["kind"].alias("kind"), x["was"].alias("was"), x["was"].alias("now")))
+    both = both.withColumn("torn", F.filter(twice, lambda x: (x["kind"] != NUMBER) | same(x)))
+    both = both.withColumn("bad", F.when(F.size("torn") > 0, F.filter("marks", lambda i: F.array_contains("torn", key(i)))))
+    whole = F.filter("places", lambda p: ~F.exists("bad", lambda i: (i >= p) & (i < p + F.col("w"))))
+    both = both.withColumn("places", F.when(F.col("bad").isNull(), F.col("places")).otherwise(whole)).where(F.size("places") > 0)
+    checked = both.select(*by, "places", F.exists("s", lambda x: ~x["was"].eqNullSafe(x["now"])).alias("changed"))
     covered = plain.unionByName(checked).groupBy("_k1", "_k2", "doc_id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("changed").alias("reparameterised"))
     share = F.col("n") / F.col("windows")
     names = items.select("item", "item_id")

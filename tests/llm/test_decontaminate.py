@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from lodeworks.llm import decontaminate, registry
 from lodeworks.sources.tables import table
@@ -67,3 +69,15 @@ def test_shuffled_join_gives_the_same(spark, sf_dir, monkeypatch):
     want = sorted(map(str, registry.op9_decontaminate(spark, sf_dir).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     assert sorted(map(str, registry.op9_decontaminate(spark, sf_dir).collect())) == want
+
+
+def test_equal_numbers_vary_and_a_torn_copy_counts(spark):
+    apples = "so there are 2 apples in the red bowl and 2 pears in the blue bowl of the kitchen"
+    r = random.Random(1)
+    words = " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60))
+    copy = f"long ago old Anna begins it {words} before old Anna ends it"
+    torn = copy.replace("old Anna ends", "old Bertha ends")
+    docs = [(1, apples.replace("2 apples", "3 apples").replace("2 pears", "5 pears")), (2, torn)]
+    got = found(decontaminate.leaks(frame(spark, docs), bench(spark, [(10, apples), (11, copy)])))
+    assert brute.leaks(docs, [(10, apples), (11, copy)]) == {}
+    assert got[1, 10] == (1.0, True) and got[2, 11][0].expected > 0.7 and got[2, 11][1]
