@@ -2,7 +2,9 @@
 
 A text is turned into its template: numbers, units behind numbers and names (capitalised words inside a sentence) become
 typed placeholders, all else is lower-cased words. Windows of ``width`` consecutive template tokens of the benchmark
-items meet those of the documents by hash. A window with fewer literal words than placeholders is not used.
+items meet those of the documents by hash. A window with fewer literal words than placeholders is not used. Items left with
+one such window or none, and those in scripts without spaces, are also searched by windows of their literal tokens (lower-cased), so that a
+verbatim copy of any item is found.
 
 Matches of a document and an item are put together by shift (place in the document less place in the item). Where the
 item's matched windows hold placeholders, slots are checked: along a shift, one value of the item has to stand for one value
@@ -15,7 +17,7 @@ Only hashes of benchmark windows are broadcast, after a count; beyond ``BROADCAS
 shuffled; of documents that match items with slots, the tokens are.
 
 Defined cases: null and empty texts and items match nothing. An item shorter than ``width`` tokens is one window of its own length; one of
-fewer than ``FEWEST`` tokens is not searched. Equal items each give a row, a null item_id like any other. Rows alike in id and text give their rows once.
+fewer than ``FEWEST`` tokens is searched literally only, and one without a number or letter not at all. Equal items each give a row, a null item_id like any other. Rows alike in id and text give their rows once.
 An empty benchmark contaminates nothing.
 """
 
@@ -32,6 +34,7 @@ NUMBER, UNIT, NAME = "0", "1", "2"
 UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|l|ml|miles?|meters?|metres?|feet|foot|inch|inches|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|usd|eur|percent|degrees?"
 _NUM = r"\d+(?:[.,]\d+)*"
 _WORD = r"[\p{L}\p{M}]+"
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def template(text: Column) -> Column:
@@ -46,6 +49,11 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{_NUM}|{_WORD}"), F.lit(0))
 
 
+def literal_tokens(text: Column) -> Column:
+    """Lower-cased numbers and words; each character of a script without spaces is a word."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"{_NUM}|{_UNSPACED}|[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]+"), F.lit(0)), lambda x: F.lower(x))
+
+
 def windows(tokens: Column, width: Column | int) -> Column:
     """Hash of each window, in order; width is part of the hash."""
     last = F.size(tokens) - width
@@ -53,10 +61,26 @@ def windows(tokens: Column, width: Column | int) -> Column:
     return F.when(last >= 0, each)
 
 
+def literal_leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, width: int, least: float) -> DataFrame:
+    """(_k1, _k2, doc_id, item, coverage, reparameterised) by windows of literal tokens; ``items``: item, words."""
+    items = items.where(F.size("words") > 0).withColumn("w", F.least(F.size("words"), F.lit(width)))
+    each = stage(items.select("item", F.posexplode(windows(F.col("words"), F.col("w"))).alias("ipos", "h"), (F.size("words") - F.col("w") + 1).alias("windows")), "literals")
+    widths = sorted(r[0] for r in items.select("w").distinct().collect())  # between 1 and width
+    none = F.expr("cast(array() as array<bigint>)")
+    located = [F.transform(F.coalesce(windows(F.col("words"), n), none), lambda h, i: F.struct(i.alias("dpos"), h.alias("h"))) for n in widths or [width]]
+    rows = keyed(docs, doc_id, text).select("_k1", "_k2", F.col(doc_id).alias("doc_id"), literal_tokens(F.col(text)).alias("words"))
+    few = each.count() <= BROADCAST_ROWS
+    met = rows.select("_k1", "_k2", "doc_id", F.inline(F.concat(*located))).join(F.broadcast(each) if few else each, "h")
+    met = met.groupBy("_k1", "_k2", "doc_id", "item").agg(F.count_distinct("ipos").alias("n"), F.max("windows").alias("windows"))
+    share = F.col("n") / F.col("windows")
+    return met.where(share >= least).select("_k1", "_k2", "doc_id", "item", share.alias("coverage"), F.lit(False).alias("reparameterised"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """(_k1, _k2, doc_id, item_id, coverage, reparameterised) of each contaminated document and item."""
-    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), template(F.col(item_text)).alias("tokens"), raw_tokens(F.col(item_text)).alias("raw"))
-    items = items.where(F.size("tokens") >= FEWEST).withColumn("w", F.least(F.size("tokens"), F.lit(width)))
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), template(F.col(item_text)).alias("tokens"), raw_tokens(F.col(item_text)).alias("raw"), literal_tokens(F.col(item_text)).alias("words"), F.col(item_text).rlike(_UNSPACED).alias("unspaced"))
+    every = stage(items, "items")
+    items = every.drop("words", "unspaced").where(F.size("tokens") >= FEWEST).withColumn("w", F.least(F.size("tokens"), F.lit(width)))
     items = stage(items.withColumn("slots", F.exists("tokens", lambda t: t.isin(NUMBER, UNIT, NAME))), "items")
     each = items.select("item", "tokens", "w", "slots", F.posexplode(windows(F.col("tokens"), F.col("w"))).alias("ipos", "h"))
     held = F.size(F.filter(F.slice("tokens", F.col("ipos") + 1, F.col("w")), lambda t: t.isin(NUMBER, UNIT, NAME)))
@@ -98,8 +122,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     checked = both.select(*by, "places", F.exists("s", lambda x: ~x["was"].eqNullSafe(x["now"])).alias("changed"))
     covered = plain.unionByName(checked).groupBy("_k1", "_k2", "doc_id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("changed").alias("reparameterised"))
     share = F.col("n") / F.col("windows")
-    names = items.select("item", "item_id")
-    return covered.join(total, "item").where(share >= least).join(names, "item").select("_k1", "_k2", "doc_id", "item_id", share.alias("coverage"), "reparameterised")
+    names = every.select("item", "item_id")
+    found = covered.join(total, "item").where(share >= least).select("_k1", "_k2", "doc_id", "item", share.alias("coverage"), "reparameterised")
+    # one window can be lost at the edge of a copy, where the text around it changes its template
+    thin = every.join(total, "item", "left").where((F.coalesce("windows", F.lit(0)) <= 1) | F.col("unspaced")).select("item", "words")
+    thin = stage(thin, "thin")
+    if not thin.isEmpty():
+        found = found.unionByName(literal_leaks(docs, thin, doc_id, text, width, least))
+        found = found.groupBy("_k1", "_k2", "doc_id", "item").agg(F.max("coverage").alias("coverage"), F.min("reparameterised").alias("reparameterised"))
+    return found.join(names, "item").select("_k1", "_k2", "doc_id", "item_id", "coverage", "reparameterised")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -81,3 +81,12 @@ def test_equal_numbers_vary_and_a_torn_copy_counts(spark):
     got = found(decontaminate.leaks(frame(spark, docs), bench(spark, [(10, apples), (11, copy)])))
     assert brute.leaks(docs, [(10, apples), (11, copy)]) == {}
     assert got[1, 10] == (1.0, True) and got[2, 11][0].expected > 0.7 and got[2, 11][1]
+
+
+def test_verbatim_copies_of_any_item(spark):
+    items = [(1, "12 + 7 = 19"), (2, "3 km 5 kg 8 lb 9 cm 4 mm 6 mg 2 days 11 hours"), (3, "Paris, Rome, Berlin, Oslo, Madrid, Lisbon, Vienna, Prague, Warsaw"), (4, "名前は何ですか。今日の天気はどうですか"), (5, "What is the capital of France"), (6, "Name it")]
+    docs = [(i, f"someone said that {t} and so on") for i, t in items] + [(7, "someone said nothing of note, 12 + 8 = 20")] + [(8, "ここで" + items[3][1] + "と言う")]
+    got = found(decontaminate.leaks(frame(spark, docs), bench(spark, items)))
+    assert set(got) == {(i, i) for i, _ in items} | {(8, 4)}
+    assert set(brute.leaks(docs, items)) < set(got)
+    assert not any(changed for i, (_, changed) in got.items())
