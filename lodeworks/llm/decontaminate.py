@@ -10,7 +10,8 @@ Matches of a document and an item are put together by shift (place in the docume
 item's matched windows hold placeholders, slots are checked: along a shift, one value of the item has to stand for one value
 of the document throughout; where it does not, the windows over its slots don't count, the shift's others do. Equal numbers of the
 item may become different ones, as they can be equal by chance; a number kept in one slot and changed in another is a contradiction. A document is contaminated by an item when
-consistent shifts cover ``least`` of the item's windows. A question with other numbers or names is found so
+consistent shifts cover ``least`` of the item's windows, or one covers ``STRAIGHT`` consecutive windows (a passage of 50 tokens),
+however long the item is. A question with other numbers or names is found so
 (``reparameterised``), a text that only shares the pattern of its phrases is not.
 
 Only hashes of benchmark windows are broadcast, after a count; beyond ``BROADCAST_ROWS`` the join shuffles. Documents' texts are not
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from lodeworks.llm.rows import keyed, only
 from lodeworks.sources.shared import stage
 
-WIDTH, FEWEST, LEAST, BROADCAST_ROWS = 8, 5, 0.3, 1_000_000
+WIDTH, FEWEST, LEAST, STRAIGHT, BROADCAST_ROWS = 8, 5, 0.3, 43, 1_000_000
 NUMBER, UNIT, NAME = "0", "1", "2"
 UNITS = "km|m|cm|mm|kg|g|mg|lb|lbs|l|ml|miles?|meters?|metres?|feet|foot|inch|inches|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|usd|eur|percent|degrees?"
 _NUM = r"\d+(?:[.,]\d+)*"
@@ -61,6 +62,12 @@ def windows(tokens: Column, width: Column | int) -> Column:
     return F.when(last >= 0, each)
 
 
+def straight(places: Column) -> Column:
+    """Whether ``STRAIGHT`` consecutive windows are among the places of one shift."""
+    at = F.array_sort(places)
+    return F.coalesce(F.exists(F.transform(at, lambda p, i: F.get(at, i + STRAIGHT - 1) == p + STRAIGHT - 1), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+
+
 def literal_leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, width: int, least: float) -> DataFrame:
     """(_k1, _k2, doc_id, item, coverage, reparameterised) by windows of literal tokens; ``items``: item, words."""
     items = items.where(F.size("words") > 0).withColumn("w", F.least(F.size("words"), F.lit(width)))
@@ -71,9 +78,11 @@ def literal_leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, wid
     rows = keyed(docs, doc_id, text).select("_k1", "_k2", F.col(doc_id).alias("doc_id"), literal_tokens(F.col(text)).alias("words"))
     few = each.count() <= BROADCAST_ROWS
     met = rows.select("_k1", "_k2", "doc_id", F.inline(F.concat(*located))).join(F.broadcast(each) if few else each, "h")
-    met = met.groupBy("_k1", "_k2", "doc_id", "item").agg(F.count_distinct("ipos").alias("n"), F.max("windows").alias("windows"))
+    by = ["_k1", "_k2", "doc_id", "item"]
+    met = met.groupBy(*by, (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("places"), F.max("windows").alias("windows"))
+    met = met.groupBy(*by).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max(straight(F.col("places"))).alias("long"), F.max("windows").alias("windows"))
     share = F.col("n") / F.col("windows")
-    return met.where(share >= least).select("_k1", "_k2", "doc_id", "item", share.alias("coverage"), F.lit(False).alias("reparameterised"))
+    return met.where((share >= least) | F.col("long")).select("_k1", "_k2", "doc_id", "item", share.alias("coverage"), F.lit(False).alias("reparameterised"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
@@ -120,10 +129,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     whole = F.filter("places", lambda p: ~F.exists("bad", lambda i: (i >= p) & (i < p + F.col("w"))))
     both = both.withColumn("places", F.when(F.col("bad").isNull(), F.col("places")).otherwise(whole)).where(F.size("places") > 0)
     checked = both.select(*by, "places", F.exists("s", lambda x: ~x["was"].eqNullSafe(x["now"])).alias("changed"))
-    covered = plain.unionByName(checked).groupBy("_k1", "_k2", "doc_id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("changed").alias("reparameterised"))
+    covered = plain.unionByName(checked).groupBy("_k1", "_k2", "doc_id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max(straight(F.col("places"))).alias("long"), F.min("changed").alias("reparameterised"))
     share = F.col("n") / F.col("windows")
     names = every.select("item", "item_id")
-    found = covered.join(total, "item").where(share >= least).select("_k1", "_k2", "doc_id", "item", share.alias("coverage"), "reparameterised")
+    found = covered.join(total, "item").where((share >= least) | F.col("long")).select("_k1", "_k2", "doc_id", "item", share.alias("coverage"), "reparameterised")
     # one window can be lost at the edge of a copy, where the text around it changes its template
     thin = every.join(total, "item", "left").where((F.coalesce("windows", F.lit(0)) <= 1) | F.col("unspaced")).select("item", "words")
     thin = stage(thin, "thin")

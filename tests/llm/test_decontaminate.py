@@ -90,3 +90,11 @@ def test_verbatim_copies_of_any_item(spark):
     assert set(got) == {(i, i) for i, _ in items} | {(8, 4)}
     assert set(brute.leaks(docs, items)) < set(got)
     assert not any(changed for i, (_, changed) in got.items())
+
+
+def test_a_passage_of_a_long_item(spark):
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(250)]
+    docs = [(1, "before it " + " ".join(words[100:160]) + " behind it"), (2, " ".join(words[100:150])), (3, " ".join(words[100:149]))]
+    got = found(decontaminate.leaks(frame(spark, docs), bench(spark, [(10, " ".join(words))])))
+    assert got == {(1, 10): (pytest.approx(53 / 243), False), (2, 10): (pytest.approx(43 / 243), False)}
