@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans (operator 2).
 
-A text is cut into sentences: behind ``. ! ?``, at line breaks, and before a capital letter, so a passage set into other
+A text is cut into sentences: behind ``. ! ?`` and the full stops of East Asian scripts, at line breaks, and before a capital letter, so a passage set into other
 text is cut alike wherever it stands. A run is a shortest row of consecutive sentences with ``least_words`` words or more,
-one from each sentence on and one up to each sentence; a sentence of that length is a run by itself. Every run is hashed
+one from each sentence on and one up to each sentence; a sentence of that length is a run by itself. In scripts without spaces
+each character is a word. Every run is hashed
 (lower-cased, white space as one space) and meets its equals over all documents. Of equal runs the first by (doc_id,
 place) stays; a sentence goes when any run over it is not the first of its kind.
 
@@ -31,7 +32,8 @@ from lodeworks.llm.rows import keyed
 from lodeworks.sources.shared import stage
 
 LEAST_WORDS = 20
-_CUT = regex.compile(r"(?<=[.!?])\s+|\n\s*|\s+(?=\p{Lu})")
+_CUT = regex.compile(r"(?<=[.!?])\s+|\n\s*|\s+(?=\p{Lu})|(?<=[。！？｡])\s*")
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -46,7 +48,10 @@ def runs(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]
     """(first sentence, sentence behind the last, normalised text) of each run."""
     low = text.lower()
     same = len(low) == len(text)  # a few letters change their length
-    parts = [(low[a:b] if same else text[a:b].lower()).split() for a, b in sentences(text)]
+    parts = [low[a:b] if same else text[a:b].lower() for a, b in sentences(text)]
+    if not text.isascii() and _UNSPACED.search(text):
+        parts = [_UNSPACED.sub(r" \g<0> ", p) for p in parts]
+    parts = [p.split() for p in parts]
     words = np.cumsum([0, *map(len, parts)])
     if words[-1] < least:
         return

@@ -49,3 +49,12 @@ def test_cases(spark):
     by = {r.doc_id: r for r in rows}
     assert by[1].text is None and by[2].text == "" and by[4].text == "few words" and by[6].text == "" == by[None].text
     assert span_dedup.remove(frame(spark, [])).count() == 0
+
+
+def test_scripts_without_spaces(spark):
+    r = random.Random(7)
+    said = lambda n: "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(n)) + "。"
+    passage = said(30) + said(25)
+    docs = [(i, said(30) + passage + said(30)) for i in range(3)]
+    got = result(span_dedup.remove(frame(spark, docs)))
+    assert got == {0: (docs[0][1], 0)} | {i: (docs[i][1].replace(passage, ""), 2) for i in (1, 2)}
