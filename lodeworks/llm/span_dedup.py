@@ -32,13 +32,17 @@ from lodeworks.llm.rows import keyed
 from lodeworks.sources.shared import stage
 
 LEAST_WORDS = 20
-_CUT = regex.compile(r"(?<=[.!?])\s+|\n\s*|\s+(?=\p{Lu})|(?<=[。！？｡])\s*")
+_CUT = regex.compile(r"(?<=[.!?])\s+|\n\s*|\s+(?=\p{Lu})")
+_WIDE_STOP = regex.compile("[。！？｡]")
+# slower, so only for texts that hold such a stop
+_WIDE_CUT = regex.compile(rf"{_CUT.pattern}|{_WIDE_STOP.pattern}\s*")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence, white space behind it included; together they are the text."""
-    ends = [m.end() for m in _CUT.finditer(text)]
+    cut = _CUT if text.isascii() or not _WIDE_STOP.search(text) else _WIDE_CUT
+    ends = [m.end() for m in cut.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
     return list(zip([0, *ends], ends, strict=False))
