@@ -1,59 +1,47 @@
-"""Whether the added lines of a change look like a fix."""
+"""Whether the added lines of a change look like a fix: column functions over arrays of lines."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LITERALS = re.compile(r'\$?@?"(?:""|\\.|[^"\\])*"|\'(?:\\.|[^\'\\])\'')
-_COMMENTS = re.compile(r"//.*$|/\*.*?\*/")
-_SHAPES = re.compile(
-    r"==\s*null\b|!=\s*null\b|\bis\s+(?:not\s+)?null\b|\?\.|\?\?|\bthrowif\w*\s*\(|\b(?:count|length)\b\s*(?:\(\s*\)\s*)?(?:[<>]=?|[=!]=)|\bisnullor(?:empty|whitespace)\s*\(",
-    re.IGNORECASE,
-)
-_STARTS = re.compile(r"^\s*\}?\s*(?:try|catch|finally|throw)\b")
+_LITERALS = r"""\$?@?"(?:[^"\\]++|""|\\.)*+"|'(?:[^'\\]++|\\.)*+'"""
+_COMMENTS = r"//.*$|/\*.*?\*/"
+_SHAPES = r"(?i)==\s*null\b|!=\s*null\b|\bis\s+(?:not\s+)?null\b|\?\.|\?\?|\bthrowif\w*\s*\(|\b(?:count|length)\b\s*(?:\(\s*\)\s*)?(?:[<>]=?|[=!]=)|\bisnullor(?:empty|whitespace)\s*\("
+_STARTS = r"^\s*\}?\s*(?:try|catch|finally|throw)\b"
+_NONE = "cast(array() as array<string>)"
 SHORTEST = 12
 
 
-def code_of(line: str) -> str:
+def code_of(line: Column) -> Column:
     """A line without literals and comments."""
-    return _COMMENTS.sub("", _LITERALS.sub('""', line))
+    return F.regexp_replace(F.regexp_replace(line, _LITERALS, '""'), _COMMENTS, "")
 
 
-def line_is_fix(line: str, removed: list[str]) -> bool:
-    code = code_of(line)
-    if not re.search(r"\w", code):
-        return False
-    text = line.strip()
-    for r in (x.strip() for x in removed):
-        if text == r or len(text) >= SHORTEST and len(r) >= SHORTEST and (text in r or r in text):
-            return False
-    return bool(_SHAPES.search(code) or _STARTS.search(code))
+def line_is_fix(line: Column, removed: Column) -> Column:
+    """A fix's shape in a line that no removed line has, whole or, from ``SHORTEST`` characters on, in part."""
+    code, text = code_of(line), F.btrim(line)
 
+    def there(old: Column) -> Column:
+        r = F.btrim(old)
+        both = (F.length(text) >= SHORTEST) & (F.length(r) >= SHORTEST)
+        return F.coalesce((text == r) | both & (r.contains(text) | text.contains(r)), F.lit(False))
 
-def is_fix(added, removed) -> bool:
-    old = [x for x in (removed if removed is not None else []) if x is not None]
-    return any(line_is_fix(x, old) for x in (added if added is not None else []) if x is not None)
+    return code.rlike(r"\w") & (code.rlike(_SHAPES) | code.rlike(_STARTS)) & ~F.exists(removed, there)
 
 
 def fix_shaped(added: Column, removed: Column) -> Column:
-    """Of array<string> columns; an Arrow batch at a time."""
-
-    def batch(a: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([is_fix(x, y) for x, y in zip(a, r, strict=True)], dtype=bool)
-
-    return F.pandas_udf(batch, "boolean")(added, removed)
+    """Of array<string> columns; null arrays are empty, null lines no fix."""
+    old = F.coalesce(removed, F.expr(_NONE))
+    return F.exists(F.coalesce(added, F.expr(_NONE)), lambda x: F.coalesce(line_is_fix(x, old), F.lit(False)))
 
 
-def skeleton(line: str) -> str:
-    """A line's punctuation."""
-    return re.sub(r"[\w\s]", "", line)
+def skeleton(lines: Column) -> Column:
+    """What is no letter, digit or underscore, white space and line breaks included."""
+    return F.concat_ws("", F.transform(lines, lambda x: F.concat(F.regexp_replace(x, r"[\p{L}\p{Nd}_]+", ""), F.lit("\n"))))
 
 
-def rename_only(added: list[str], removed: list[str]) -> bool:
-    """Both sides have the same, non-empty punctuation."""
-    a, r = (re.sub(r"\s", "", "".join(map(skeleton, x))) for x in (added, removed))
-    return bool(a) and a == r
+def rename_only(added: Column, removed: Column) -> Column:
+    """Both sides have lines, and one skeleton."""
+    there = (F.coalesce(F.size(added), F.lit(0)) > 0) & (F.coalesce(F.size(removed), F.lit(0)) > 0)
+    return there & (skeleton(added) == skeleton(removed))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 _TOKEN = regex.compile(
     r'(?P<comment>//[^\n]*|/\*.*?(?:\*/|$))|(?P<raw>\$*"""+.*?"""+)|(?P<string>(?:\$@|@\$|@)"(?:""|[^"])*"|\$?"(?:\\.|[^"\\\n])*")|(?P<char>\'(?:\\.|[^\'\\\n])+\')'
-    r"|(?P<number>\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?[a-zA-Z]*|0[xXbB][\da-fA-F_]+[a-zA-Z]*)|(?P<escaped>@[\p{L}_][\p{L}\p{N}_]*|[\p{L}_]*\\u[\da-fA-F]{4}[\p{L}\p{N}_]*)|(?P<word>[\p{L}_][\p{L}\p{N}_]*)"
+    r"|(?P<number>0[xXbB][\da-fA-F_]+[a-zA-Z]*|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?[a-zA-Z]*)|(?P<escaped>@[\p{L}_][\p{L}\p{N}_]*|[\p{L}_]*\\u[\da-fA-F]{4}[\p{L}\p{N}_]*)|(?P<word>[\p{L}_][\p{L}\p{N}_]*)"
     r"|(?P<op>\?\?=|<<=|>>=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.|\+\+|--|->|::|[+\-*/%&|^]=|\S)",
     regex.DOTALL,
 )

@@ -46,7 +46,8 @@ def nested(nodes: DataFrame) -> DataFrame:
 def operator_runs(nodes: DataFrame) -> DataFrame:
     """Boolean operators in pre-order (body_id, tree_id, ord, operator) as one node of kind ``operators`` for each run."""
     w = Window.partitionBy("body_id", "tree_id").orderBy("ord")
-    return nodes.where(~F.col("operator").eqNullSafe(F.lag("operator").over(w))).select("body_id", F.lit("operators").alias("kind"), F.lit(0).alias("nesting"))
+    marked = nodes.withColumn("_before", F.lag("operator").over(w))
+    return marked.where(~F.col("operator").eqNullSafe(F.col("_before"))).select("body_id", F.lit("operators").alias("kind"), F.lit(0).alias("nesting"))
 
 
 def cognitive(nodes: DataFrame) -> DataFrame:

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.fix_shape import fix_shaped, rename_only
 from lodeworks.operators.relations import anchor_line, newest, touches
 
 
-def _renamed(added: Column, removed: Column) -> Column:
-    def batch(a: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([rename_only(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, r, strict=True)], dtype=bool)
-
-    return F.pandas_udf(batch, "boolean")(added, removed)
-
-
 def comparable(members: DataFrame, identifiers: DataFrame, exec_lines: DataFrame) -> DataFrame:
     """(set_id, path, comparable): false only where no member has an executable line and none shares an identifier with this one."""
     span = members.select("set_id", "path", "start_line", "end_line")
@@ -49,7 +41,7 @@ def detect(members: DataFrame, commits: DataFrame, commit_files: DataFrame, hunk
     earlier = pairs.join(s_last, "s_path").where("s_ord > ord").join(old, ["s_sha", "s_path"]).where(touches(F.col("s_start"), F.col("s_end"), F.col("h_start"), F.col("h_count"))).select("set_id", "path").distinct()
     change = m.join(sided, ["set_id", "path"]).join(earlier, ["set_id", "path"], "left_anti").join(hunks, ["sha", "path"])
     change = change.where(~F.coalesce("is_file_creation", F.lit(False)) & touches(F.col("start_line"), F.col("end_line"), F.col("new_start"), F.col("new_count")))
-    change = change.withColumns({"fix": fix_shaped(F.col("added"), F.col("removed")) & ~_renamed(F.col("added"), F.col("removed")), "anchor": anchor_line(F.col("start_line"), F.col("end_line"), F.coalesce("changed_new_lines", F.array().cast("array<int>")), F.col("new_start"))})
+    change = change.withColumns({"fix": fix_shaped(F.col("added"), F.col("removed")) & ~rename_only(F.col("added"), F.col("removed")), "anchor": anchor_line(F.col("start_line"), F.col("end_line"), F.coalesce("changed_new_lines", F.array().cast("array<int>")), F.col("new_start"))})
     change = change.join(comparable(members, identifiers, exec_lines), ["set_id", "path"], "left").join(later, ["set_id", "path"], "left")
     tier = F.when(F.col("fix") & F.coalesce("comparable", F.lit(True)), "high").otherwise("advisory")
     rows = change.select("set_id", "path", "sha", "anchor", tier.alias("tier"), "siblings", F.coalesce("catch_ups", F.array().cast("array<string>")).alias("catch_ups"))

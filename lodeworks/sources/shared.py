@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
 A written table cuts the lineage as a reliable checkpoint does and survives lost executors; columnar files take
-less disk than serialised rows.
+less disk than serialised rows. Who stages a table drops it with :func:`discard` once what was made of it is written.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (local tests) a folder is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``; where that is unset, a folder made here if the session is local, else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or "file://" + tempfile.mkdtemp(prefix="lodeworks-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(folder)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -27,9 +27,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back."""
+def stage(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    gather: for rows that are few next to the tasks that make them; adaptive execution puts them together into files of a
+    usable size first.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.hint("rebalance") if gather else df).write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        path = getattr(t, "staged_at", None)
+        if path:
+            context = t.sparkSession.sparkContext
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
