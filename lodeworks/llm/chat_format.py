@@ -6,7 +6,7 @@ A turn is rendered where it is read::
 
 and a conversation is its turns in order. In roles and texts the characters ``\\ < [ |`` are written ``\\b \\l \\s \\p``,
 so no control string of this or a common other template (``<s>``, ``</s>``, ``[INST]``, ``<|...|>``) survives inside
-them, and reading back is exact. Content is a text or a list of typed parts, which a visitor flattens in order: text is
+them, and reading back is exact. Content is a list of typed parts (a plain text is a list of one), which a visitor flattens in order: text is
 escaped; image, audio and document parts become ``<|KIND N|>``, N counting the turn's attachments from 0, and are
 recorded as (n, kind, ref, tokens), tokens being what the placeholder expands to.
 
@@ -17,7 +17,8 @@ of different conversations never share a buffer.
 
 Defined cases: null text, role or part text is empty; a null part or a part of another kind gives ``<|file N|>`` of one
 token, a null list no content. Turns are ordered by turn (nulls first), then role, then content, so ties and repeated
-rows have one order. A null conv_id is a conversation like any other. No rows in, no rows out.
+rows have one order. A null conv_id is a conversation like any other. Other columns, whatever their
+names, are ignored. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.llm.rows import named
+
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("[", "\\s"), ("|", "\\p"))
 END = "<|end|>"
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
@@ -72,11 +75,19 @@ def visit(parts: Column) -> Column:
     return F.aggregate(F.coalesce(parts, F.expr(f"cast(array() as {PARTS})")), empty, step)
 
 
+def part_of(text: Column) -> Column:
+    """A text as a typed part."""
+    none = F.lit(None)
+    return F.struct(F.lit("text").alias("kind"), text.alias("text"), none.cast("string").alias("ref"), none.cast("int").alias("width"), none.cast("int").alias("height"), none.cast("double").alias("seconds"), none.cast("int").alias("pages"))
+
+
 def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str | None = "text", parts: str | None = None) -> DataFrame:
     """A row per conversation: conv_id, n_turns, formatted, loss_spans (start, stop), attachments (turn_no, n, kind, ref, tokens)."""
-    rendered = visit(F.col(parts)) if parts else F.struct(escape(F.coalesce(F.col(text), F.lit(""))).alias("content"), F.expr("cast(array() as array<struct<n:int,kind:string,ref:string,tokens:bigint>>)").alias("attachments"))
-    who = F.coalesce(F.col(role), F.lit(""))
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("t"), who.alias("r"), rendered.alias("c"))
+    # a text is a list of one part
+    content = named(parts) if parts else F.array(part_of(named(text)))
+    rendered = visit(content)
+    who = F.coalesce(named(role), F.lit(""))
+    rows = turns.select(named(conv_id).alias("conv_id"), named(turn).alias("t"), who.alias("r"), rendered.alias("c"))
     rows = rows.select("conv_id", F.struct("t", "r", F.col("c.content").alias("x"), F.col("c.attachments").alias("a"), F.concat(F.lit("<|turn "), escape(F.col("r")), F.lit("|>")).alias("h")).alias("turn"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)").alias("spans"))
@@ -118,8 +129,9 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from ``formatted``."""
-    back = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from ``formatted``; n_attachments, attachment_tokens."""
+    expanded_tokens = F.aggregate("attachments", F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"])
+    back = chats.select("conv_id", "formatted", F.size("attachments").alias("n_attachments"), expanded_tokens.alias("attachment_tokens"), read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -128,4 +140,6 @@ def digests(chats: DataFrame) -> DataFrame:
         F.length("loss").cast("bigint").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
+        F.col("n_attachments").cast("bigint").alias("n_attachments"),
+        "attachment_tokens",
     )

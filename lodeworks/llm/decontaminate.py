@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.rows import keyed, only
+from lodeworks.llm.rows import keys, named, packed, unpacked
 from lodeworks.sources.shared import stage
 
 WIDTH, FEWEST, LEAST, STRAIGHT, BROADCAST_ROWS = 8, 5, 0.3, 43, 1_000_000
@@ -69,24 +69,24 @@ def straight(places: Column) -> Column:
 
 
 def literal_leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, width: int, least: float) -> DataFrame:
-    """(_k1, _k2, doc_id, item, coverage, reparameterised) by windows of literal tokens; ``items``: item, words."""
+    """(k1, k2, doc_id, item, coverage, reparameterised) by windows of literal tokens; ``items``: item, words."""
     items = items.where(F.size("words") > 0).withColumn("w", F.least(F.size("words"), F.lit(width)))
     each = stage(items.select("item", F.posexplode(windows(F.col("words"), F.col("w"))).alias("ipos", "h"), (F.size("words") - F.col("w") + 1).alias("windows")), "literals")
     widths = sorted(r[0] for r in items.select("w").distinct().collect())  # between 1 and width
     none = F.expr("cast(array() as array<bigint>)")
     located = [F.transform(F.coalesce(windows(F.col("words"), n), none), lambda h, i: F.struct(i.alias("dpos"), h.alias("h"))) for n in widths or [width]]
-    rows = keyed(docs, doc_id, text).select("_k1", "_k2", F.col(doc_id).alias("doc_id"), literal_tokens(F.col(text)).alias("words"))
+    rows = docs.select(*keys(named(doc_id), named(text)), named(doc_id).alias("doc_id"), literal_tokens(named(text)).alias("words"))
     few = each.count() <= BROADCAST_ROWS
-    met = rows.select("_k1", "_k2", "doc_id", F.inline(F.concat(*located))).join(F.broadcast(each) if few else each, "h")
-    by = ["_k1", "_k2", "doc_id", "item"]
+    met = rows.select("k1", "k2", "doc_id", F.inline(F.concat(*located))).join(F.broadcast(each) if few else each, "h")
+    by = ["k1", "k2", "doc_id", "item"]
     met = met.groupBy(*by, (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("places"), F.max("windows").alias("windows"))
     met = met.groupBy(*by).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max(straight(F.col("places"))).alias("long"), F.max("windows").alias("windows"))
     share = F.col("n") / F.col("windows")
-    return met.where((share >= least) | F.col("long")).select("_k1", "_k2", "doc_id", "item", share.alias("coverage"), F.lit(False).alias("reparameterised"))
+    return met.where((share >= least) | F.col("long")).select("k1", "k2", "doc_id", "item", share.alias("coverage"), F.lit(False).alias("reparameterised"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """(_k1, _k2, doc_id, item_id, coverage, reparameterised) of each contaminated document and item."""
+    """(k1, k2, doc_id, item_id, coverage, reparameterised) of each contaminated document and item."""
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), template(F.col(item_text)).alias("tokens"), raw_tokens(F.col(item_text)).alias("raw"), literal_tokens(F.col(item_text)).alias("words"), F.col(item_text).rlike(_UNSPACED).alias("unspaced"))
     every = stage(items, "items")
     items = every.drop("words", "unspaced").where(F.size("tokens") >= FEWEST).withColumn("w", F.least(F.size("tokens"), F.lit(width)))
@@ -103,48 +103,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     else:
         located = [F.transform(F.coalesce(windows(F.col("tokens"), n), F.expr("cast(array() as array<bigint>)")), lambda h, i: F.struct(i.alias("dpos"), h.alias("h"))) for n in widths]
         seen = F.inline(F.concat(*located))
-    rows = keyed(docs, doc_id, text).select("_k1", "_k2", F.col(doc_id).alias("doc_id"), template(F.col(text)).alias("tokens"))
+    rows = docs.select(*keys(named(doc_id), named(text)), named(doc_id).alias("doc_id"), template(named(text)).alias("tokens"))
     few = each.count() <= BROADCAST_ROWS
     known = each.select("item", "ipos", "h", "slots")
-    met = rows.select("_k1", "_k2", "doc_id", seen).join(F.broadcast(known) if few else known, "h")
+    met = rows.select("k1", "k2", "doc_id", seen).join(F.broadcast(known) if few else known, "h")
     met = met.withColumn("shift", F.col("dpos") - F.col("ipos"))
-    by = ["_k1", "_k2", "doc_id", "item", "shift"]
+    by = ["k1", "k2", "doc_id", "item", "shift"]
     met = stage(met.groupBy(*by).agg(F.collect_set("ipos").alias("places"), F.max("slots").alias("slots")), "shifts")
     plain = met.where(~F.col("slots")).select(*by, "places", F.lit(False).alias("changed"))
     with_slots = met.where("slots")
-    whom = with_slots.select("_k1", "_k2").distinct()
+    whom = with_slots.select("k1", "k2").distinct()
     near = F.broadcast(whom) if whom.count() <= BROADCAST_ROWS else whom
-    words = keyed(docs, doc_id, text).join(near, ["_k1", "_k2"], "left_semi").select("_k1", "_k2", raw_tokens(F.col(text)).alias("doc_raw")).dropDuplicates(["_k1", "_k2"])
-    both = with_slots.join(words, ["_k1", "_k2"]).join(items.select("item", "tokens", "raw", "w"), "item")
+    words = docs.select(*keys(named(doc_id), named(text)), named(text).alias("t")).join(near, ["k1", "k2"], "left_semi").select("k1", "k2", raw_tokens(F.col("t")).alias("doc_raw")).dropDuplicates(["k1", "k2"])
+    both = with_slots.join(words, ["k1", "k2"]).join(items.select("item", "tokens", "raw", "w"), "item")
     under = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("w") - 1))))
     marks = F.filter(under, lambda i: F.get("tokens", i).isin(NUMBER, UNIT, NAME))
     key = lambda i: F.struct(F.get("tokens", i).alias("kind"), F.lower(F.get("raw", i)).alias("was"))
     slot = F.transform(marks, lambda i: F.struct(*(key(i)[k].alias(k) for k in ("kind", "was")), F.lower(F.get("doc_raw", i + F.col("shift"))).alias("now")))
     both = both.withColumn("marks", marks).withColumn("s", F.array_sort(F.array_distinct(slot)))
-    keys = F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["was"].alias("was")))
-    twice = F.array_distinct(F.filter(keys, lambda x, i: F.coalesce((i > 0) & (F.get(keys, i - 1) == x), F.lit(False))))
+    slots_of = F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["was"].alias("was")))
+    twice = F.array_distinct(F.filter(slots_of, lambda x, i: F.coalesce((i > 0) & (F.get(slots_of, i - 1) == x), F.lit(False))))
     same = lambda x: F.array_contains("s", F.struct(x["kind"].alias("kind"), x["was"].alias("was"), x["was"].alias("now")))
     both = both.withColumn("torn", F.filter(twice, lambda x: (x["kind"] != NUMBER) | same(x)))
     both = both.withColumn("bad", F.when(F.size("torn") > 0, F.filter("marks", lambda i: F.array_contains("torn", key(i)))))
     whole = F.filter("places", lambda p: ~F.exists("bad", lambda i: (i >= p) & (i < p + F.col("w"))))
     both = both.withColumn("places", F.when(F.col("bad").isNull(), F.col("places")).otherwise(whole)).where(F.size("places") > 0)
     checked = both.select(*by, "places", F.exists("s", lambda x: ~x["was"].eqNullSafe(x["now"])).alias("changed"))
-    covered = plain.unionByName(checked).groupBy("_k1", "_k2", "doc_id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max(straight(F.col("places"))).alias("long"), F.min("changed").alias("reparameterised"))
+    covered = plain.unionByName(checked).groupBy("k1", "k2", "doc_id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max(straight(F.col("places"))).alias("long"), F.min("changed").alias("reparameterised"))
     share = F.col("n") / F.col("windows")
     names = every.select("item", "item_id")
-    found = covered.join(total, "item").where((share >= least) | F.col("long")).select("_k1", "_k2", "doc_id", "item", share.alias("coverage"), "reparameterised")
+    found = covered.join(total, "item").where((share >= least) | F.col("long")).select("k1", "k2", "doc_id", "item", share.alias("coverage"), "reparameterised")
     # one window can be lost at the edge of a copy, where the text around it changes its template
     thin = every.join(total, "item", "left").where((F.coalesce("windows", F.lit(0)) <= 1) | F.col("unspaced")).select("item", "words")
     thin = stage(thin, "thin")
     if not thin.isEmpty():
         found = found.unionByName(literal_leaks(docs, thin, doc_id, text, width, least))
-        found = found.groupBy("_k1", "_k2", "doc_id", "item").agg(F.max("coverage").alias("coverage"), F.min("reparameterised").alias("reparameterised"))
-    return found.join(names, "item").select("_k1", "_k2", "doc_id", "item_id", "coverage", "reparameterised")
+        found = found.groupBy("k1", "k2", "doc_id", "item").agg(F.max("coverage").alias("coverage"), F.min("reparameterised").alias("reparameterised"))
+    return found.join(names, "item").select("k1", "k2", "doc_id", "item_id", "coverage", "reparameterised")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that no item contaminates; columns unchanged."""
-    found = leaks(docs, benchmark, doc_id, text).select("_k1", "_k2").distinct()
+    found = leaks(docs, benchmark, doc_id, text).select("k1", "k2").distinct()
     found = stage(found, "leaks")
     some = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return only(keyed(docs, doc_id, text).join(some, ["_k1", "_k2"], "left_anti"), docs.columns)
+    rows = packed(docs, i=doc_id, t=text).select(*keys(F.col("i"), F.col("t")), "row")
+    return unpacked(rows.join(some, ["k1", "k2"], "left_anti"), docs.columns)

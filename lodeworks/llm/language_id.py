@@ -6,24 +6,25 @@ that sum without listing the ways. A text's score under a language is the sum of
 occurrence counted, over the whole text; the prediction is the language of the highest, its score the posterior
 probability under a flat prior.
 
-Pieces: the vocabulary's lower-case letter strings of up to eight UTF-8 bytes, with or without the space before a word,
-and the 256 single bytes, so every word can be cut. A word is a run of letters and marks, lower-cased, with a space
-before it; runs of over ``BLOCK`` bytes are scored block by block.
+Pieces: the vocabulary's lower-case letter strings, with or without the space before a word, and the single bytes, so
+every word can be cut. A word is a run of letters and marks, lower-cased, with a space before it. Words of up to ``SHORT`` bytes go
+through the forward pass many at a time, longer ones (a line without spaces) one by one in logarithms: the same sum, whole.
 
 Fitting: expectation-maximisation (forward-backward) on a bounded sample: for each language the ``per_language`` rows
-with the smallest hash of doc_id among the labelled rows, whole texts. A share of the mass is smoothed by the pooled and the
+with the smallest hash of doc_id among the labelled rows, whole texts; their words are counted on the executors. A share of the mass is smoothed by the pooled and the
 flat distribution. The model (pieces x languages) is of fixed size and is broadcast; word scores are remembered in a
 table of bounded size for each Python worker. Language, source and doc_id are no inputs of a prediction.
 
 Defined cases: null text or one without a letter: ``und``, score 0. A null doc_id is not learned from and not held out.
-Ties go to the language first in order. Without labelled rows every text is ``und``. Repeated rows repeat.
+Ties go to the language first in order. Without labelled rows every text is ``und``. Repeated rows repeat. Other
+columns go along; columns called as the two outputs are replaced. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,41 +34,36 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.arrow import add_columns
 from lodeworks.llm.byte_bpe import read_ranks
-from lodeworks.llm.rows import only
+from lodeworks.llm.rows import named, packed, unpacked
 
-LONGEST, BLOCK, REMEMBERED = 8, 32, 150_000
+SHORT, REMEMBERED = 32, 150_000
 UND = "und"
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces_of(rank_file: bytes) -> np.ndarray:
-    """The vocabulary's pieces as big-endian integers, sorted."""
-    found = {i for i in range(1, 256)}
+def pieces_of(rank_file: bytes) -> list[bytes]:
+    """The vocabulary's pieces that a lower-case word can hold, and all single bytes."""
+    found = {bytes([i]) for i in range(1, 256)}
     for token in read_ranks(rank_file):
         try:
             word = token.decode().removeprefix(" ")
         except UnicodeDecodeError:
             continue
-        if 1 < len(token) <= LONGEST and word and word == word.lower() and _WORDS.fullmatch(word):
-            found.add(int.from_bytes(token))
-    return np.array(sorted(found), np.uint64)
+        if len(token) > 1 and word and word == word.lower() and _WORDS.fullmatch(word):
+            found.add(token)
+    return sorted(found)
 
 
-def blocks(word: str) -> list[bytes]:
-    data = b" " + word.encode()
-    return [data] if len(data) <= BLOCK else [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-
-
-def _spans(rows: np.ndarray, pieces: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, end, piece numbers) of every span that can be a piece; len(pieces) stands for none."""
-    size = rows.shape[1]
-    wide = rows.astype(np.uint64)
+def _spans(rows: np.ndarray, keys: np.ndarray, order: np.ndarray, longest: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, end, piece numbers) of every span that can be a piece; len(keys) stands for none. keys: sorted, order: their pieces."""
+    size, wide = rows.shape[1], rows.astype(np.uint64) + np.uint64(1)
     for end in range(1, size + 1):
         key = np.zeros(len(rows), np.uint64)
-        for start in range(end - 1, max(-1, end - 1 - LONGEST), -1):
-            key = key | wide[:, start] << np.uint64(8 * (end - 1 - start))
-            at = np.minimum(np.searchsorted(pieces, key), len(pieces) - 1)
-            yield start, end, np.where(pieces[at] == key, at, len(pieces))
+        for start in range(end - 1, max(-1, end - 1 - longest), -1):
+            key = key * _BASE + wide[:, start]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            yield start, end, np.where(keys[at] == key, order[at], len(keys))
 
 
 def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -78,57 +74,116 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(-1, n)
 
 
-@dataclass
 class Model:
-    languages: list[str]
-    pieces: np.ndarray
-    prob: np.ndarray  # pieces and a row of zeros x languages
+    """Piece probabilities (pieces and a row of zeros x languages) and the sums over segmentations that they give."""
+
+    def __init__(self, languages: list[str], pieces: list[bytes], prob: np.ndarray):
+        self.languages, self.pieces, self.prob = languages, pieces, prob
+        self.longest = max(map(len, pieces))
+        keys = np.zeros(len(pieces), np.uint64)
+        for i, p in enumerate(pieces):
+            k = 0
+            for byte in reversed(p):
+                k = (k * int(_BASE) + byte + 1) % 2**64
+            keys[i] = k
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have one key")
+
+    @cached_property
+    def number(self) -> dict[bytes, int]:
+        return {p: i for i, p in enumerate(self.pieces)}
+
+    def spans(self, rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        return _spans(rows, self.keys, self.order, self.longest)
+
+    def forward(self, rows: np.ndarray, prob: np.ndarray) -> list[np.ndarray]:
+        """For each prefix length the summed probability of its segmentations, words x languages; words of ``SHORT`` bytes at most."""
+        alpha = [np.ones((len(rows), prob.shape[1]))] + [np.zeros((len(rows), prob.shape[1])) for _ in range(rows.shape[1])]
+        for start, end, piece in self.spans(rows):
+            alpha[end] += alpha[start] * prob[piece]
+        return alpha
+
+    def long_spans(self, word: bytes, logs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each end the starts and the pieces' log-probabilities."""
+        get, out = self.number.get, []
+        for end in range(1, len(word) + 1):
+            found = [(start, n) for start in range(max(0, end - self.longest), end) if (n := get(word[start:end])) is not None]
+            out.append((np.array([f[0] for f in found]), logs[[f[1] for f in found]]))
+        return out
+
+    def long_forward(self, word: bytes, logs: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The same in logarithms for one word of any length, and its spans."""
+        spans = self.long_spans(word, logs)
+        alpha = np.zeros((len(word) + 1, logs.shape[1]))
+        for end, (starts, p) in enumerate(spans, 1):
+            alpha[end] = np.logaddexp.reduce(alpha[starts] + p, axis=0)
+        return alpha, spans
 
     def log_prob(self, words: list[bytes]) -> np.ndarray:
         """Log-probability of each word under each language, all segmentations summed."""
         out = np.empty((len(words), len(self.languages)))
-        for at, rows in _by_length(words):
-            out[at] = np.log(forward(rows, self.pieces, self.prob)[-1])
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        for at, rows in _by_length([words[i] for i in short]):
+            out[np.array(short)[at]] = np.log(self.forward(rows, self.prob)[-1])
+        if len(short) < len(words):
+            with np.errstate(divide="ignore"):
+                logs = np.log(self.prob)
+            for i, w in enumerate(words):
+                if len(w) > SHORT:
+                    out[i] = self.long_forward(w, logs)[0][-1]
         return out
 
-
-def forward(rows: np.ndarray, pieces: np.ndarray, prob: np.ndarray) -> list[np.ndarray]:
-    """For each prefix length the summed probability of its segmentations, words x languages."""
-    alpha = [np.ones((len(rows), prob.shape[1]))] + [np.zeros((len(rows), prob.shape[1])) for _ in range(rows.shape[1])]
-    for start, end, piece in _spans(rows, pieces):
-        alpha[end] += alpha[start] * prob[piece]
-    return alpha
-
-
-def fit(counts: dict[str, Counter], rank_file: bytes, rounds: int = 2, smooth: float = 1e-3) -> Model:
+    def expect(self, words: list[bytes], times: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How often each piece is used in ``words``, expected over all segmentations; p: the probabilities of one language."""
+        size = len(self.pieces)
+        expected = np.zeros(size + 1)
+        short = np.array([len(w) <= SHORT for w in words], bool)
+        for at, rows in _by_length([w for w, s in zip(words, short, strict=True) if s]):
+            alpha = self.forward(rows, p)
+            beta = [np.zeros(len(rows)) for _ in alpha[:-1]] + [np.ones(len(rows))]
+            spans = list(self.spans(rows))
+            for start, end, piece in sorted(spans, key=lambda s: -s[0]):
+                beta[start] += beta[end] * p[piece, 0]
+            for start, end, piece in spans:
+                share = alpha[start][:, 0] * p[piece, 0] * beta[end] / alpha[-1][:, 0] * times[short][at]
+                expected += np.bincount(piece, share, size + 1)
+        with np.errstate(divide="ignore"):
+            logs = np.log(p)
+        for i in np.flatnonzero(~short):
+            word, n = words[i], times[i]
+            alpha, spans = self.long_forward(word, logs)
+            beta = np.full(len(word) + 1, -np.inf)
+            beta[-1] = 0
+            for end in range(len(word), 0, -1):
+                starts, q = spans[end - 1]
+                beta[starts] = np.logaddexp(beta[starts], beta[end] + q[:, 0])
+            for end in range(1, len(word) + 1):
+                starts, q = spans[end - 1]
+                share = np.exp(alpha[starts, 0] + q[:, 0] + beta[end] - alpha[-1, 0]) * n
+                np.add.at(expected, [self.number[word[s:end]] for s in starts.tolist()], share)
+        return expected[:size]
+
+
+def fit(counts: dict[str, dict[str, int]], rank_file: bytes, rounds: int = 2, smooth: float = 1e-3) -> Model:
     """Piece probabilities of each language from its word counts."""
     pieces, languages = pieces_of(rank_file), sorted(counts)
-    size, prob = len(pieces), np.zeros((len(pieces) + 1, len(languages)))
-    tables = []
-    for language in languages:
-        words = Counter()
-        for word, n in counts[language].items():
-            for block in blocks(word):
-                words[block] += n
-        tables.append((list(words), np.fromiter(words.values(), float, len(words))))
+    size = len(pieces)
+    model = Model(languages, pieces, np.zeros((size + 1, len(languages))))
+    tables = [([spelled(w) for w in counts[k]], np.fromiter(counts[k].values(), float, len(counts[k]))) for k in languages]
     for turn in range(rounds + 1):
-        expected = np.zeros((size + 1, len(languages)))
-        for k, (words, times) in enumerate(tables):
-            flat = np.append(np.full(size, 1 / size), 0)[:, None]
-            p = flat if turn == 0 else prob[:, k : k + 1]
-            for at, rows in _by_length(words):
-                alpha = forward(rows, pieces, p)
-                beta = [np.zeros(len(rows)) for _ in alpha[:-1]] + [np.ones(len(rows))]
-                spans = list(_spans(rows, pieces))
-                for start, end, piece in sorted(spans, key=lambda s: -s[0]):
-                    beta[start] += beta[end] * p[piece, 0]
-                for start, end, piece in spans:
-                    share = alpha[start][:, 0] * p[piece, 0] * beta[end] / alpha[-1][:, 0] * times[at]
-                    expected[:, k] += np.bincount(piece, share, size + 1)
-        expected = expected[:size] / np.maximum(expected[:size].sum(axis=0), 1e-9)
+        flat = np.append(np.full(size, 1 / size), 0)[:, None]
+        expected = np.stack([model.expect(words, times, flat if turn == 0 else model.prob[:, k : k + 1]) for k, (words, times) in enumerate(tables)], axis=1)
+        expected /= np.maximum(expected.sum(axis=0), 1e-9)
         pooled = expected.mean(axis=1, keepdims=True)
-        prob[:size] = (1 - smooth) * expected + smooth * (0.5 * pooled + 0.5 / size)
-    return Model(languages, pieces, prob)
+        model.prob[:size] = (1 - smooth) * expected + smooth * (0.5 * pooled + 0.5 / size)
+    return model
+
+
+def spelled(word: str) -> bytes:
+    """A word's bytes, the space before it included."""
+    return b" " + word.encode()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -146,10 +201,16 @@ def train(docs: DataFrame, rank_file: bytes, doc_id: str = "doc_id", text: str =
     of = of.where(~held_out(F.col("i")))
     first = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
     chosen = of.select("i", "l").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("i", "l").distinct()
-    counts: dict[str, Counter] = {}
-    for row in of.join(F.broadcast(chosen), ["i", "l"]).select("l", "t").toLocalIterator():  # per_language rows a language
-        counts.setdefault(row.l, Counter()).update(words_of(row.t))
-    counts = {k: v for k, v in counts.items() if v}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = Counter((k, w) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in words_of(t))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["l", "w", "n"])
+
+    counted = of.join(F.broadcast(chosen), ["i", "l"]).select(F.col("l").cast("string").alias("l"), "t").mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    counts: dict[str, dict[str, int]] = {}
+    for row in counted.orderBy("l", "w").toLocalIterator():  # the distinct words of per_language rows a language
+        counts.setdefault(row.l, {})[row.w] = row.n
     return fit(counts, rank_file) if counts else None
 
 
@@ -162,11 +223,8 @@ class Scorer:
         if len(self.row) > REMEMBERED:
             self.row, self.table = {}, self.table[:0]
         if fresh := sorted(set().union(*bags).difference(self.row)):
-            parts = [blocks(w) for w in fresh]
-            single = self.model.log_prob([b for p in parts for b in p])
-            starts = np.cumsum([0, *map(len, parts)])[:-1]
             self.row.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
-            self.table = np.concatenate((self.table, np.add.reduceat(single, starts, axis=0)))
+            self.table = np.concatenate((self.table, self.model.log_prob([spelled(w) for w in fresh])))
         for bag in bags:
             if not bag:
                 yield UND, 0.0
@@ -192,4 +250,4 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", to: tuple[
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:
     """The documents with a language whose posterior is ``least`` or more; columns unchanged."""
-    return only(predict(docs, model, text, ("_lang", "_score")).where((F.col("_lang") != UND) & (F.col("_score") >= least)), docs.columns)
+    return unpacked(predict(packed(docs, t=text), model, "t", ("said", "score")).where((F.col("said") != UND) & (F.col("score") >= least)), docs.columns)

@@ -54,6 +54,18 @@ def near(docs, radius=4):
     return {i: (f"{fp[i]:016x}", part[i]) for i in fp}
 
 
+def shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def near_copies(docs, least=0.8):
+    """{id: component} by the Jaccard similarity of 5-word shingles."""
+    sets = {i: shingles(t) for i, t in docs}
+    alike = lambda a, b: len(a & b) >= least * len(a | b)
+    return components(sets, [(a, b) for a, b in combinations(sets, 2) if alike(sets[a], sets[b])])
+
+
 # ------------------------------------------------------------------ lines
 
 
@@ -96,20 +108,35 @@ def cleaned_lines(docs, least=20):
 # ------------------------------------------------------------------ spans
 
 
-def without_spans(docs, least=20):
-    """{id: (text, sentences removed)}"""
+def without_spans(docs, least=36, long=24):
+    """{id: (text, pieces removed)}: sentences, long ones cut further before words of a hash that is a multiple of four."""
     cut = regex.compile(r"(?<=[.!?])\s+|\n\s*|\s+(?=\p{Lu})")
     parts, runs = {}, []
     for n, (i, text) in enumerate(docs):
-        ends = [m.end() for m in cut.finditer(text or "")]
-        ends += [len(text or "")] if not ends or ends[-1] < len(text or "") else []
-        parts[i] = [(text or "")[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        words = [p.lower().split() for p in parts[i]]
+        text = text or ""
+        ends = [m.end() for m in cut.finditer(text)]
+        ends += [len(text)] if not ends or ends[-1] < len(text) else []
+        pieces = []  # (text, words, whether a sentence ends here)
+        for a, b in zip([0, *ends], ends, strict=False):
+            at = [m.start() for m in regex.finditer(r"\S+", text[a:b])]
+            words = text[a:b].split()
+            marks = [k for k in range(1, len(words)) if xxhash.xxh64_intdigest(words[k].lower()) % 4 == 0] if len(words) > long else []
+            for k, stop in zip([0, *marks], [*marks, len(words)], strict=True):
+                begin, end = (at[k] if k else 0), (at[stop] if stop < len(words) else b - a)
+                pieces.append([text[a:b][begin:end], [w.lower() for w in words[k:stop]], stop == len(words)])
+        parts[i] = []
+        for p in pieces:  # white space belongs to what is before it, or to the first words
+            if parts[i] and (not p[1] or not parts[i][-1][1]):
+                parts[i][-1] = [parts[i][-1][0] + p[0], parts[i][-1][1] + p[1], p[2] or parts[i][-1][2]]
+            else:
+                parts[i].append(p)
+        words = [p[1] for p in parts[i]]
         for a in range(len(words)):
             for b in range(a + 1, len(words) + 1):
-                if sum(map(len, words[a:b])) >= least:
-                    ahead = words[a] and sum(map(len, words[a : b - 1])) < least
-                    behind = words[b - 1] and sum(map(len, words[a + 1 : b])) < least
+                size = sum(map(len, words[a:b]))
+                if size >= least:
+                    ahead = sum(map(len, words[a : b - 1])) < least
+                    behind = parts[i][b - 1][2] and sum(map(len, words[a + 1 : b])) < least
                     if ahead or behind:
                         runs.append((" ".join(w for p in words[a:b] for w in p), n, i, a, b))
     first = {}
@@ -119,7 +146,7 @@ def without_spans(docs, least=20):
     for key, n, i, a, b in runs:
         if first[key] != (n, a):
             gone[i].update(range(a, b))
-    return {i: ("".join(p for k, p in enumerate(parts[i]) if k not in gone[i]) if gone[i] else text, len(gone[i])) for i, text in docs}
+    return {i: ("".join(p[0] for k, p in enumerate(parts[i]) if k not in gone[i]) if gone[i] else text, len(gone[i])) for i, text in docs}
 
 
 # ------------------------------------------------------------------ leaks

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from lodeworks.llm import chat_format, registry
 from lodeworks.sources.tables import table
 from pyspark.sql import functions as F
@@ -50,6 +51,15 @@ def test_parts(spark):
     assert [x.formatted[s.start : s.stop] for s in x.loss_spans] == ["look \\l<|image 0|>"]
 
 
+def test_texts_go_through_the_visitor(spark, sf_dir, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "a <b>"), (1, 1, "assistant", None)], "conv_id int, turn int, role string, text string")
+    one = df.select("conv_id", "turn", "role", F.array(chat_format.part_of(F.col("text"))).alias("parts"))
+    assert chat_format.format_chats(df).collect() == chat_format.format_chats(one, text=None, parts="parts").collect()
+    monkeypatch.setattr(chat_format, "visit", lambda parts: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        registry.op4_chat_format(spark, sf_dir)
+
+
 def test_ties_nulls_repeats_and_nothing(spark):
     rows = [(1, 2, "user", "b"), (1, 2, "user", "a"), (1, 2, "assistant", "z"), (1, None, "user", "first"), (None, 1, "user", "x"), (None, 1, "user", "x")]
     got = {r.conv_id: [tuple(t) for t in r.t] for r in chat_format.format_chats(frame(spark, rows)).select("conv_id", chat_format.read_back(F.col("formatted")).alias("t")).collect()}

@@ -2,10 +2,11 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from lodeworks.llm import byte_bpe, language_id, registry
 from lodeworks.sources.tables import table
 
-SCHEMA = "doc_id long, text string, lang string, score string, lang_pred int, `a.b` int"
+SCHEMA = "doc_id long, text string, lang string, score string, lang_pred int, `a.b` int, row int, _lang int"
 RANKS = byte_bpe.load_ranks(registry.PIECE_RANKS)
 
 
@@ -15,26 +16,53 @@ def model(spark):
 
 
 def frame(spark, docs):
-    return spark.createDataFrame([(i, t, g, "clash", 1, 2) for i, t, g in docs], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, g, "clash", 1, 2, 3, 4) for i, t, g in docs], SCHEMA).repartition(3)
+
+
+def plain_log_prob(model, word):
+    """The sum over all segmentations, in logarithms, a byte at a time."""
+    place = {p: k for k, p in enumerate(model.pieces)}
+    total = [np.zeros(len(model.languages))]
+    for end in range(1, len(word) + 1):
+        ways = [total[s] + np.log(model.prob[place[word[s:end]]]) for s in range(end) if word[s:end] in place]
+        total.append(np.logaddexp.reduce(ways, axis=0))
+    return total[-1]
 
 
 def test_the_sum_over_all_segmentations(model):
-    place = {int(p): k for k, p in enumerate(model.pieces)}
-
-    def total(data):
-        if not data:
-            return np.ones(len(model.languages))
-        out = np.zeros(len(model.languages))
-        for n in range(1, min(len(data), language_id.LONGEST) + 1):
-            k = place.get(int.from_bytes(data[:n]))
-            if k is not None:
-                out = out + model.prob[k] * total(data[n:])
-        return out
-
-    words = [" the", " de", " maison", " größe", " x"]
-    got = model.log_prob([w.encode() for w in words])
-    for w, row in zip(words, got, strict=True):
-        assert np.allclose(row, np.log(total(w.encode())))
+    # short and long words, pieces of over eight bytes, words longer than any block
+    words = [" the", " de", " maison", " größe", " x", " international", " internationalization" * 4, " " + "donaudampfschiff" * 9, " " + "w" * 700]
+    assert max(map(len, model.pieces)) > 8
+    data = [w.encode() for w in words]
+    for w, row in zip(data, model.log_prob(data), strict=True):
+        assert np.allclose(row, plain_log_prob(model, w)), w
+
+
+def test_long_and_short_words_are_learned_alike(model):
+    words = [" international".encode() * 2, " größe".encode()]
+    p = model.prob[:, :1]
+    batched = model.expect(words, np.array([2.0, 3.0]), p)
+    short, language_id.SHORT = language_id.SHORT, 0
+    try:
+        single = model.expect(words, np.array([2.0, 3.0]), p)
+    finally:
+        language_id.SHORT = short
+    assert np.allclose(batched, single) and batched.sum() > 0
+
+
+def test_query_as_plain_python(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model, known = language_id.train(docs, RANKS), {}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in registry.op5_language_id(spark, sf_dir).collect()}
+    for r in docs.collect():
+        words = regex.findall(r"\p{L}[\p{L}\p{M}]*", (r.text or "").lower())
+        total = np.zeros(len(model.languages))
+        for w in words:
+            if w not in known:
+                known[w] = plain_log_prob(model, b" " + w.encode())
+            total += known[w]
+        want = (model.languages[int(total.argmax())], 1 / np.exp(total - total.max()).sum()) if words else ("und", 0.0)
+        assert got[r.doc_id][0] == want[0] and abs(got[r.doc_id][1] - want[1]) < 1e-6
 
 
 def test_probabilities(model):

@@ -7,11 +7,11 @@ from lodeworks.sources.tables import table
 
 from . import brute
 
-SCHEMA = "doc_id long, text string, fp string, `part.a` int"
+SCHEMA = "doc_id long, text string, fp string, `part.a` int, k1 string, _k2 int"
 
 
 def frame(spark, docs):
-    return spark.createDataFrame([(i, t, "clash", 1) for i, t in docs], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, "clash", 1, "k", 2) for i, t in docs], SCHEMA).repartition(3)
 
 
 def test_query_as_brute_force(spark, sf_dir):
@@ -53,8 +53,38 @@ def test_links_connect_all_in_range(spark, crowd):
 def test_embedding_is_a_lower_bound():
     r = np.random.default_rng(1)
     a, b = (r.integers(0, 2**63, 2000, dtype=np.uint64) for _ in range(2))
-    lanes = lambda x: np.stack([simhash.bit_counts(x) >> np.uint64(2 * i) & np.uint64(3) for i in range(32)]).astype(int)
-    assert (np.abs(lanes(a) - lanes(b)).sum(axis=0) <= np.bitwise_count(a ^ b)).all()
+    counts = lambda x: np.stack([np.bitwise_count(x >> np.uint64(2 * i) & np.uint64(3)) for i in range(32)]).astype(int)
+    far = np.abs(counts(a) - counts(b)).sum(axis=0)
+    assert (simhash.manhattan(simhash.points_of(a), simhash.points_of(b)) == far).all()
+    assert (far <= np.bitwise_count(a ^ b)).all() and (far < np.bitwise_count(a ^ b)).any()
+
+
+def test_points_in_range_share_a_cell(spark):
+    r = random.Random(9)
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b = a
+        for k in r.sample(range(64), 4):
+            b ^= 1 << k
+        p, q = (simhash.points_of(np.array([x], np.uint64)) for x in (a, b))
+        assert ((p & simhash.GRIDS) == (q & simhash.GRIDS)).any()
+
+
+@pytest.mark.parametrize("radius", [0, 2, 4])
+def test_midpoints_alone_connect_all_in_range(spark, radius):
+    r = random.Random(radius)
+    base = r.getrandbits(64)
+    points = {base}
+    while len(points) < 60:
+        x = base
+        for k in r.sample(range(64), r.randint(0, 6)):
+            x ^= 1 << k
+        points.add(x)
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp long")
+    got = [(x.a & (1 << 64) - 1, x.b & (1 << 64) - 1) for x in simhash.midpoint_links(df, radius).collect()]
+    assert all((a ^ b).bit_count() <= radius for a, b in got)
+    want = [(a, b) for a in points for b in points if a < b and (a ^ b).bit_count() <= radius]
+    assert brute.components(points, got) == brute.components(points, want)
 
 
 def test_keep_one(spark):
@@ -62,4 +92,4 @@ def test_keep_one(spark):
     docs = frame(spark, [(4, text), (2, text), (2, text), (9, "something else entirely is told here"), (None, text)])
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns
-    assert sorted(tuple(x) for x in got.collect()) == [(2, text, "clash", 1), (9, "something else entirely is told here", "clash", 1)]
+    assert sorted(tuple(x) for x in got.collect()) == [(2, text, "clash", 1, "k", 2), (9, "something else entirely is told here", "clash", 1, "k", 2)]
