@@ -79,3 +79,25 @@ def flagged_blocks(rows: DataFrame, key: list[str], line: str, flag: str, least:
     islands = rows.withColumn("_i", F.col(line) - F.row_number().over(w))
     out = islands.groupBy(*key, "_i").agg(F.min(line).alias("start"), F.max(line).alias("stop"), F.count("*").alias("lines"), F.avg(F.col(flag).cast("double")).alias("share"))
     return out.where((F.col("lines") >= least) & (F.col("share") >= ratio)).drop("_i")
+
+
+def namespace_of(places: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """``places`` (path, line, ...) with ``namespace``: the innermost declared around the line, else the file's own, else null (global).
+
+    namespaces: path, name, line, end_line, file_scoped; a file-scoped one goes to the file's end. Nested names are joined by the caller.
+    """
+    p = places.withColumn("_id", F.monotonically_increasing_id())
+    inside = p.select("_id", "path", F.col("line").alias("_at")).join(namespaces, "path").where("_at >= line and (file_scoped or _at <= end_line)")
+    best = inside.groupBy("_id").agg(F.max_by("name", F.struct(~F.col("file_scoped"), "line", -F.coalesce("end_line", F.lit(0)))).alias("namespace"))
+    return p.join(best, "_id", "left").drop("_id")
+
+
+def all_uses(uses: DataFrame, key: str, holds: Column) -> DataFrame:
+    """(key, uses): of what is used, where every use ``holds``."""
+    return uses.groupBy(key).agg(F.count("*").alias("uses"), F.bool_and(F.coalesce(holds, F.lit(False))).alias("_all")).where("_all").drop("_all")
+
+
+def written_not_read(uses: DataFrame, key: str, writes: Column, reads: Column) -> DataFrame:
+    """(key, uses): of what is used, where a use ``writes`` and none ``reads``."""
+    g = uses.groupBy(key).agg(F.count("*").alias("uses"), F.bool_or(writes).alias("_w"), F.bool_or(reads).alias("_r"))
+    return g.where("_w and not coalesce(_r, false)").drop("_w", "_r")

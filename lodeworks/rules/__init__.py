@@ -13,6 +13,13 @@ from lodeworks.sources.facts import SCHEMAS, Facts
 GUARANTEED, HIGH, MODERATE, ADVISORY = 1, 2, 3, 4
 
 
+#: The category of each rule's findings, by number (:data:`lodeworks.sinks.reports.CATEGORIES`).
+CATEGORY = {
+    "R0001": 2, "R0002": 1, "R0003": 5, "R0004": 6, "R0005": 3, "R0006": 4, "R0007": 7, "R0008": 7, "R0009": 8, "R0010": 9, "R0011": 10, "R0012": 11, "R0013": 12, "R0018": 13, "R0019": 14,
+    "R0020": 15, "R0021": 16, "R0022": 17, "R0023": 19, "R0024": 20, "R0025": 18, "R0026": 21, "R0027": 19, "R0028": 22, "R0029": 23, "R0030": 24, "R0031": 25, "R0032": 26, "R0033": 27, "R0034": 27,
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     rule_id: str
@@ -36,13 +43,12 @@ def finding(df: DataFrame, rule_id: str, certainty: int | Column, message: Colum
     """Rows as findings."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
     none = F.lit(None)
-    number = int(rule_id[1:])
     return df.select(
         F.lit(rule_id).alias("rule_id"),
         F.lit(RULES[rule_id].title).alias("title"),
         message.alias("message"),
         (certainty if isinstance(certainty, Column) else F.lit(certainty)).cast("tinyint").alias("certainty"),
-        F.lit(number).cast("tinyint").alias("category"),
+        F.lit(CATEGORY[rule_id]).cast("tinyint").alias("category"),
         col(path).alias("file_path"),
         col(line).cast("int").alias("line_number"),
         (col(ch) if ch is not None else F.lit(0)).cast("int").alias("character_offset"),
@@ -51,11 +57,16 @@ def finding(df: DataFrame, rule_id: str, certainty: int | Column, message: Colum
     )
 
 
-def analyse(facts: Facts, options: set[str] = frozenset(), off: set[str] = frozenset()) -> DataFrame:
-    """The findings of all rules that are on, in declaration order of the rules (column order of a union; sort to report)."""
+def analyse(facts: Facts, options: set[str] = frozenset(), off: set[str] = frozenset(), limits: dict[str, int] | None = None) -> DataFrame:
+    """The findings of all rules that are on, in the order of their ids (column order of a union; sort to report).
+
+    limits: by rule id, for rules that have one.
+    """
     from lodeworks.rules import code, packages, shapes  # noqa: F401  fills RULES
 
-    parts = [r.analyse(facts) for k, r in sorted(RULES.items()) if k.lower() not in {x.lower() for x in off} and (r.opt_in is None or r.opt_in in options)]
+    dead = {x.lower() for x in off}
+    on = [r for k, r in sorted(RULES.items()) if k.lower() not in dead and (r.opt_in is None or r.opt_in in options)]
+    parts = [r.analyse(facts, limits[r.rule_id]) if limits and r.rule_id in limits else r.analyse(facts) for r in on]
     if not parts:
         return facts.spark.createDataFrame([], SCHEMAS["findings"])
     out = parts[0]

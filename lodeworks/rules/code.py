@@ -9,11 +9,7 @@ from lodeworks.operators import relations
 from lodeworks.operators.closure import closure
 from lodeworks.operators.graph import connected_components
 from lodeworks.rules import ADVISORY, GUARANTEED, HIGH, MODERATE, finding, rule
-from lodeworks.sources.facts import SERIALIZATION_ATTRIBUTES, Facts
-
-
-def _has(column: str, names: tuple[str, ...]):
-    return F.arrays_overlap(F.coalesce(column, F.array().cast("array<string>")), F.array(*map(F.lit, names)))
+from lodeworks.sources.facts import SERIALIZATION_ATTRIBUTES, Facts, carries
 
 
 def _named(text: str):
@@ -27,7 +23,7 @@ def _unreferenced(facts: Facts, declared: DataFrame) -> DataFrame:
 @rule("R0001", "Unused private member")
 def unused_private(facts: Facts) -> DataFrame:
     d = facts.live_declarations.where("accessibility = 'private' and kind in ('method', 'property', 'field', 'local_function', 'indexer')")
-    d = d.where(~_has("attributes", SERIALIZATION_ATTRIBUTES)).join(facts["implements"], "symbol_id", "left_anti")
+    d = d.where(~carries("attributes", SERIALIZATION_ATTRIBUTES)).join(facts["implements"], "symbol_id", "left_anti")
     return finding(_unreferenced(facts, d), "R0001", GUARANTEED, F.concat(F.lit("Private "), "kind", _named("")), symbol="symbol_id", ch="ch")
 
 
@@ -45,7 +41,12 @@ def _non_private(facts: Facts, access: str, rule_id: str) -> DataFrame:
     d = facts.live_declarations.where((F.col("accessibility") == access) & F.col("kind").isin("type", "method", "property"))
     unused = _unreferenced(facts, d).join(relations.contract_live(facts["implements"], facts["references"]), "symbol_id", "left_anti")
     unused = unused.where("not is_override")
-    weaker = F.col("has_friends") | F.lit(access == "public")
+    # what a container makes, and what can be called from outside, may have users that are not seen
+    made = facts["type_edges"].where("via = 'di'").select(F.col("used_type_id").alias("type_id"), F.lit(True).alias("made")).distinct()
+    around = facts["declarations"].where("kind = 'type'").select(F.col("symbol_id").alias("type_id"), F.col("accessibility").alias("around"))
+    unused = unused.join(made, "type_id", "left").join(around, "type_id", "left")
+    exported = F.lit(access == "public") & ((F.col("kind") == "type") | (F.col("around") == "public"))
+    weaker = F.coalesce("has_friends", F.lit(False)) | F.coalesce("made", F.lit(False)) | F.coalesce(exported, F.lit(False))
     return finding(unused, rule_id, F.when(weaker, ADVISORY).otherwise(MODERATE), F.concat(F.lit(access.capitalize() + " "), "kind", _named("")), symbol="symbol_id", ch="ch")
 
 
@@ -84,9 +85,9 @@ def unused_parameter(facts: Facts) -> DataFrame:
 
 @rule("R0018", "Unused obsolete member")
 def obsolete_member(facts: Facts) -> DataFrame:
-    d = facts["declarations"].where(_has("attributes", ("Obsolete", "ObsoleteError")) & ~F.col("is_override"))
+    d = facts.judged(but=("Obsolete",)).where(carries("attributes", ("Obsolete", "ObsoleteError")) & ~F.col("is_override"))
     d = d.join(facts["implements"], "symbol_id", "left_anti")
-    strong = _has("attributes", ("ObsoleteError",)) | (F.col("accessibility") != "public")
+    strong = carries("attributes", ("ObsoleteError",)) | (F.col("accessibility") != "public")
     tier = F.when(F.col("kind") == "enum_member", ADVISORY).when(strong, HIGH).otherwise(MODERATE)
     return finding(_unreferenced(facts, d), "R0018", tier, _named("Obsolete"), symbol="symbol_id", ch="ch")
 
@@ -105,7 +106,7 @@ def unused_using(facts: Facts) -> DataFrame:
 @rule("R0021", "Write-only field")
 def write_only(facts: Facts) -> DataFrame:
     f = facts["declarations"].where("kind = 'field' and accessibility = 'private' and not array_contains(coalesce(attributes, cast(array() as array<string>)), 'const')")
-    f = f.where(~_has("attributes", SERIALIZATION_ATTRIBUTES))
+    f = f.where(~carries("attributes", SERIALIZATION_ATTRIBUTES))
     use = facts["references"].where("kind <> 'nameof'").groupBy("symbol_id").agg(
         F.bool_or((F.col("kind").isin("read", "readwrite")) | F.coalesce("is_candidate", F.lit(False))).alias("read"), F.bool_or(F.col("kind").isin("write", "readwrite")).alias("written")
     )
@@ -128,8 +129,9 @@ def never_overridden(facts: Facts) -> DataFrame:
 @rule("R0024", "Member can be tightened")
 def tighten(facts: Facts) -> DataFrame:
     d, refs = facts["declarations"], facts["references"]
-    uses_this = refs.where("kind = 'instance'").select("symbol_id").distinct()
-    static = d.where("kind = 'method' and accessibility = 'private' and not is_static and not is_virtual and not is_override").join(uses_this, "symbol_id", "left_anti").where("false or array_contains(coalesce(attributes, cast(array() as array<string>)), 'no_this')")
+    # uses_instance: whether a method's body touches this, base or an instance member; null where that isn't known
+    static = d.where("kind = 'method' and not is_static and not is_virtual and not is_override and not is_abstract and not uses_instance and size(coalesce(attributes, cast(array() as array<string>))) = 0")
+    static = static.join(facts["implements"], "symbol_id", "left_anti")
     fields = d.where("kind = 'field' and accessibility = 'private' and not array_contains(coalesce(attributes, cast(array() as array<string>)), 'readonly')")
     written = refs.where("kind in ('write', 'readwrite')").select("symbol_id").distinct()
     outside = refs.where("kind = 'write_outside_constructor' or kind = 'readwrite'").select("symbol_id").distinct()
@@ -151,7 +153,7 @@ def closed_family(facts: Facts) -> DataFrame:
     d = facts["declarations"]
     o = facts["overrides"]
     family = connected_components(o, "symbol_id", "base_symbol_id").withColumnsRenamed({"node": "symbol_id", "component": "family"})
-    members = d.join(family, "symbol_id").select("symbol_id", "family", "name", "path", "line", "ch", "span_end", "is_abstract")
+    members = d.join(family, "symbol_id").select("symbol_id", "family", "name", "path", "line", "ch", "span_end", "is_abstract", "accessibility", "has_friends")
     spans = members.select("family", F.col("path").alias("span_path"), F.col("line").alias("lo"), F.col("span_end").alias("hi"))
     at = facts["references"].join(family, "symbol_id").select("family", F.col("path").alias("ref_path"), F.col("line").alias("ref_line"), F.monotonically_increasing_id().alias("ref"))
     inside = at.join(spans, (at["family"] == spans["family"]) & (F.col("ref_path") == F.col("span_path")) & F.col("ref_line").between(F.col("lo"), F.col("hi")), "left_semi")
@@ -160,7 +162,9 @@ def closed_family(facts: Facts) -> DataFrame:
     ok = members.groupBy("family").agg(F.count("*").alias("size"), F.bool_or("is_abstract").alias("abstract")).where("size >= 2 and not abstract").join(closed, "family", "left_semi")
     roots = members.join(ok, "family", "left_semi").join(o.select("symbol_id"), "symbol_id", "left_anti")
     spelled = facts["string_literals"].select(F.col("text").alias("name")).distinct()
-    return finding(roots.join(spelled, "name", "left_anti"), "R0027", F.when(F.col("ch") < 0, ADVISORY).otherwise(MODERATE), _named("Overrides call only each other:"), symbol="symbol_id", ch="ch")
+    candidate = facts["references"].where("is_candidate").join(family, "symbol_id").select("family")  # not known to be one: no finding
+    roots = roots.join(candidate, "family", "left_anti")
+    return finding(roots.join(spelled, "name", "left_anti"), "R0027", F.when(F.coalesce("has_friends", F.lit(False)) | (F.col("accessibility") == "public"), ADVISORY).otherwise(MODERATE), _named("Overrides call only each other:"), symbol="symbol_id", ch="ch")
 
 
 @rule("R0030", "Event never raised")

@@ -25,9 +25,10 @@ def flow(facts: Facts) -> DataFrame:
 
 
 def package_subtree(facts: Facts) -> DataFrame:
-    """(path, id, node): packages that only the direct package ``id`` of a project brings in.
+    """(path, id, node): packages that only the direct package ``id`` of a project brings in, other direct ones among them.
 
-    A walk from the other direct packages stops at ``id``; what they reach without it is theirs too.
+    What another direct package reaches, by ``id`` too if it needs that, stays when ``id`` goes; so a package is exclusive when one direct package
+    alone reaches it.
     """
     direct = facts["package_refs"].select("path", F.lower("id").alias("id")).distinct()
     deps = facts["lock_deps"].select("path", F.lower("id").alias("id"), F.lower("dep_id").alias("dep")).distinct()
@@ -35,8 +36,7 @@ def package_subtree(facts: Facts) -> DataFrame:
     edges = deps.select(node("path", "id").alias("src"), node("path", "dep").alias("dst"))
     reach = closure(edges, roots=direct.select(node("path", "id").alias("root"))).select("root", "node")
     shared = reach.groupBy("node").agg(F.countDistinct("root").alias("n"), F.min("root").alias("root")).where("n = 1")
-    alone = shared.join(direct.select(node("path", "id").alias("node")), "node", "left_anti")
-    return alone.select(F.col("root.path").alias("path"), F.col("root.id").alias("id"), F.col("node.id").alias("node"))
+    return shared.select(F.col("root.path").alias("path"), F.col("root.id").alias("id"), F.col("node.id").alias("node"))
 
 
 def unused_packages(facts: Facts) -> DataFrame:
@@ -87,15 +87,14 @@ def unused_project(facts: Facts) -> DataFrame:
 
 
 def spelled(names: DataFrame, texts: DataFrame, name: str = "assembly_name") -> DataFrame:
-    """Rows of ``names`` whose name a text contains, but for texts of their own path; names under three characters count as spelled.
+    """Rows of ``names`` whose name a text contains, inside a longer word too, but for texts of their own path; names under three characters count as spelled.
 
-    Names are met by their longest word first, the substring is looked for in what is left.
+    A name's first three characters meet all rows of three of a text, the substring is looked for in what is left.
     """
-    word = F.array_max(F.transform(F.split(name, "[^A-Za-z0-9_]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    n = names.where(F.length(name) >= 3).withColumn("_w", F.lower(word)).select("path", name, "_w")
-    t = texts.select(F.col("path").alias("_p"), F.col("text").alias("_t"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_]+"))).alias("_x"))
-    # a whole word of the name is inside a word of the text when the name stands between other letters: those are looked for by their parts
-    hit = n.join(t, (F.col("_w") == F.col("_x")) & (F.col("path") != F.col("_p"))).where(F.contains("_t", name)).select("path")
+    n = names.where(F.length(name) >= 3).select("path", name, F.substring(name, 1, 3).alias("_g"))
+    grams = F.array_distinct(F.regexp_extract_all("text", F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    t = texts.select(F.col("path").alias("_p"), F.col("text").alias("_t"), F.explode(grams).alias("_x"))
+    hit = n.join(t, (F.col("_g") == F.col("_x")) & ~F.col("path").eqNullSafe(F.col("_p"))).where(F.contains("_t", name)).select("path")
     return names.where(F.length(name) < 3).select("path").union(hit).distinct()
 
 
@@ -149,7 +148,8 @@ def _options(facts: Facts) -> tuple[DataFrame, DataFrame]:
     return facts["config_leaves"], facts["option_leaves"]
 
 
-FRAMEWORK_SECTIONS = ("logging", "serilog", "allowedhosts", "connectionstrings", "kestrel", "urls", "authentication", "applicationinsights")
+# Sections whose keys the framework reads itself.
+FRAMEWORK_SECTIONS = ("AllowedHosts", "ApplicationInsights", "ConnectionStrings", "Kestrel", "Logging", "NLog", "OpenTelemetry", "Serilog")
 
 
 @rule("R0007", "Configuration key bound to nothing", opt_in="config_analysis")
@@ -157,16 +157,19 @@ def unbound_key(facts: Facts) -> DataFrame:
     from lodeworks.operators.relations import suffix_unbound
 
     leaves, options = _options(facts)
-    keys = leaves.where(~F.lower(F.split("key", ":")[0]).isin(*FRAMEWORK_SECTIONS))
+    keys = leaves.where(~F.lower(F.split("key", ":")[0]).isin(*map(str.lower, FRAMEWORK_SECTIONS)))
     paths = options.select(F.concat_ws(":", F.when(F.col("path") != "", F.col("path")), "property").alias("path"))
-    rows = suffix_unbound(keys, paths).join(paths.limit(1).select(F.lit(True).alias("any")), F.lit(True), "left_semi")
+    rows = suffix_unbound(keys, paths)
+    if paths.isEmpty():  # without options there is nothing to bind to
+        rows = rows.limit(0)
     return finding(rows, "R0007", ADVISORY, F.concat(F.lit("Key '"), "key", F.lit("' is bound to no option")), path="file")
 
 
 @rule("R0008", "Option never configured", opt_in="config_analysis")
 def unset_option(facts: Facts) -> DataFrame:
     leaves, options = _options(facts)
-    segments = leaves.select(F.explode(F.split(F.lower("key"), ":")).alias("n")).distinct()
-    some = leaves.limit(1).select(F.lit(True).alias("any"))
-    rows = options.join(segments, F.lower("property") == F.col("n"), "left_anti").join(some, F.lit(True), "left_semi")
+    segments = leaves.select(F.lower(F.element_at(F.split("key", ":"), -1)).alias("n")).distinct()
+    rows = options.join(segments, F.lower("property") == F.col("n"), "left_anti")
+    if leaves.isEmpty():  # without settings nothing is configured
+        rows = rows.limit(0)
     return finding(rows, "R0008", ADVISORY, F.concat(F.lit("Option '"), "property", F.lit("' is never configured")), path="type_id", line=F.lit(1))

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks import rules
-from lodeworks.operators import entropy, findings
-from lodeworks.sinks.reports import Exit, exit_code, json_report, sarif_results, write_lines
+from lodeworks.operators import audit, entropy, findings
+from lodeworks.sinks import reports
+from lodeworks.sinks.reports import Exit, exit_code, write_lines
 from lodeworks.sources.facts import Facts
 from lodeworks.sources.projects import read_stored
+from lodeworks.sources.shared import stage
 
 VERSION = "0.1.0"
 
@@ -111,40 +113,66 @@ def find_config(folders: dict[str, str], start: str) -> str | None:
 class Outcome:
     report: DataFrame
     exit: Exit
+    reported: DataFrame
     entropy: DataFrame | None = None
     months: DataFrame | None = None
-    audit: DataFrame | None = None
+    audit: dict | None = None
+    entropy_report: dict | None = None
+
+
+def needs_lifted(options: Options, config: findings.Config) -> bool:
+    """Whether the baseline needs a pass without suppressions: it would change with them else."""
+    return options.baseline is not None and bool(options.exclude_namespaces or config.namespaces or config.off)
+
+
+def _entropy_report(one, budget: float | None, minimum: int, months: DataFrame | None) -> dict:
+    """The report's section, null fields left out."""
+    status = "".join(w.capitalize() for w in one.status.split("_"))
+    monthly = [] if months is None else [{"month": m.month, "newFindings": m.new_findings, "resolvedFindings": m.resolved_findings, "linesChanged": m.lines_changed} | ({} if m.rate is None else {"findingsPerKloc": m.rate}) for m in months.orderBy("month").collect()]
+    fields = {
+        "status": status, "scored": one.status == "scored", "newFindings": one.new_findings, "resolvedFindings": one.resolved_findings, "linesChanged": one.lines, "baselineCommitSha": one.baseline_sha,
+        "headCommitSha": one.head_sha, "minimumLines": max(minimum, 1), "findingsPerKloc": one.rate, "budget": budget, "budgetExceeded": bool(one.exceeds), "monthly": monthly,
+    }
+    return {k: v for k, v in fields.items() if v is not None}
 
 
 def run(spark: SparkSession, facts: Facts, options: Options, config: findings.Config = findings.Config(), context: dict | None = None, generated_at_utc: str = "1970-01-01T00:00:00Z") -> Outcome:
-    """Rules, exclusion, classification, baseline, entropy and report.
+    """Rules, exclusion, classification, baseline, audit, entropy and report.
 
-    context: head_sha, baseline_sha, is_git, dirty of the run. The baseline's fingerprints come from what rules found, whatever is
-    suppressed, and are collected before the file is written; months are of the ledger before this run.
+    context: head_sha, baseline_sha, is_git, dirty of the run. All rules run once, their findings are written, and each pass is a part
+    of that table: what is shown (rules that are on, namespaces that aren't excluded), what rules that are off would say, and what only
+    shows without exclusions. The baseline takes the whole table, so suppressions don't change it; where one is given, the report
+    holds findings that it doesn't know. Its fingerprints are collected before the file is written; months are of the ledger before this run.
     """
-    found = rules.analyse(facts, options.opted)
-    if options.max_complexity != 15 or options.max_cognitive_complexity != 15:
-        from lodeworks.rules import shapes
-
-        found = found.where(~F.col("rule_id").isin("R0033", "R0034")).unionByName(shapes.cyclomatic(facts, options.max_complexity)).unionByName(shapes.cognitive(facts, options.max_cognitive_complexity))
+    everything = rules.analyse(facts, options.opted, limits={"R0033": options.max_complexity, "R0034": options.max_cognitive_complexity})
     excluded = [*options.exclude_namespaces, *config.namespaces]
     spaces = facts["documents"].select(F.col("path").alias("file_path"), "namespace").dropDuplicates(["file_path"])
-    shown = found.join(spaces, "file_path", "left")
-    shown = findings.visible(shown, F.col("namespace"), excluded).select(found.columns)
-    reported = findings.tier_floor(findings.apply(shown, config), options.certainty_tier)
-    over, state, months = False, None, None
+    print_of = findings.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("message"), options.target)
+    marked = everything.join(spaces, "file_path", "left").withColumns(
+        {"off": F.lower("rule_id").isin(config.off) if config.off else F.lit(False), "excluded": findings.namespace_covered(F.col("namespace"), excluded), "fingerprint": print_of}
+    )
+    marked = stage(marked.select(*everything.columns, "off", "excluded", "fingerprint"), "findings", gather=True)
+    shown = marked.where("not off and not excluded")
+    disabled, hidden = marked.where("off and not excluded"), marked.where("excluded")
+    audited = None
+    if options.audit_suppressions:
+        accounted = marked.where("not excluded").select("fingerprint").distinct()
+        shadow = hidden.where("not off").join(accounted, "fingerprint", "left_anti") if excluded else None
+        files, names = facts["documents"].select("path"), facts["documents"].select(F.col("namespace").alias("ns")).distinct()
+        known = facts.has("documents")
+        audited = audit.build(shown, config, options.certainty_tier, disabled if config.off else None, shadow, files if known else None, names if known else None)
+    visible, over, state, months, section = shown, False, None, None, None
     if options.baseline:
-        current = found.select(findings.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("message"), options.target).alias("fingerprint")).distinct()
-        from lodeworks.sources.shared import stage
-
-        current = stage(current, "fingerprints")
+        source = marked if needs_lifted(options, config) else shown
+        current = source.select("fingerprint").distinct()
         known = stage(read_stored(spark, options.baseline, "fingerprint string"), "baseline")
-        sides = findings.against_baseline(current, known)
+        visible = shown.join(known, "fingerprint", "left_anti")
         if options.entropy_rate:
             c = {"head_sha": None, "baseline_sha": None, "is_git": True, "dirty": False} | (context or {})
             lines = entropy.changed_lines(facts["numstat"], list(config.paths)) if facts.has("numstat") else spark.sql("SELECT cast(null as bigint) AS lines")
             row = lines.withColumns({k: F.lit(v).cast("string" if k.endswith("sha") else "boolean") for k, v in c.items()} | {"baseline_existed": F.lit(not known.isEmpty())})
-            row = row.withColumns({"new_findings": F.lit(sides["new"].count()), "resolved_findings": F.lit(sides["resolved"].count()), "status": entropy.status(options.entropy_min_lines)})
+            new, resolved = visible.count(), findings.against_baseline(current, known)["resolved"].count()
+            row = row.withColumns({"new_findings": F.lit(new).cast("bigint"), "resolved_findings": F.lit(resolved).cast("bigint"), "status": entropy.status(options.entropy_min_lines)})
             value = entropy.rate(F.col("new_findings"), F.col("lines"), F.col("status"))
             state = row.withColumns({"rate": value, "exceeds": entropy.exceeds(value, F.col("status"), options.entropy_budget)})
             one = state.first()
@@ -156,9 +184,14 @@ def run(spark: SparkSession, facts: Facts, options: Options, config: findings.Co
                 if one.status == "scored":
                     entry = spark.createDataFrame([(one.head_sha, generated_at_utc, one.new_findings, one.resolved_findings, one.lines)], schema)
                     entropy.upsert(ledger, entry).coalesce(1).write.mode("overwrite").json(options.entropy_ledger)
+            section = _entropy_report(one, options.entropy_budget, options.entropy_min_lines, months)
         findings.baseline(current).coalesce(1).write.mode("overwrite").json(options.baseline)
-    audit = findings.audit_entries(shown, config, options.certainty_tier.lower()) if options.audit_suppressions else None
-    report = json_report(reported, VERSION, (context or {}).get("head_sha"), generated_at_utc) if options.format == "json" else sarif_results(findings.report_order(reported))
+    reported = findings.tier_floor(findings.apply(visible.select(everything.columns), config), options.certainty_tier)
+    with_text = reports.with_line_text(reported, facts["lines"] if facts.has("lines") else None)
+    if options.format == "json":
+        report = reports.json_report(with_text, VERSION, (context or {}).get("head_sha"), generated_at_utc, audited, section)
+    else:
+        report = reports.sarif_report(with_text, VERSION)
     written = True
     if options.output:
         try:
@@ -166,4 +199,4 @@ def run(spark: SparkSession, facts: Facts, options: Options, config: findings.Co
         except Exception as e:  # noqa: BLE001  any failed write is exit code 2
             print(f"report not written: {e}")
             written = False
-    return Outcome(report, exit_code(True, written, over), state, months, audit)
+    return Outcome(report, exit_code(True, written, over), reported, state, months, audited, section)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,21 @@ def not_own_report(files: DataFrame) -> DataFrame:
     return files.where(~F.substring("text", 1, 4096).contains('"ruleId"'))
 
 
+def _well_formed():
+    def check(text: pd.Series) -> pd.Series:
+        def fine(t: str | None) -> bool:
+            parser = expat.ParserCreate()
+            try:
+                parser.Parse((t or "").encode(), True)
+            except (expat.ExpatError, LookupError, ValueError):
+                return False
+            return True
+
+        return text.map(fine).astype(bool)
+
+    return F.pandas_udf(check, "boolean")
+
+
 def _first(xml: str, *paths: str):
     return F.coalesce(*(F.nullif(F.trim(F.xpath_string(xml, F.lit(p))), F.lit("")) for p in paths))
 
@@ -36,7 +54,9 @@ def _element(item, name: str):
 
 def _items(files: DataFrame, name: str) -> DataFrame:
     """(path, item, line): the elements called ``name``, self-closed or not, with their lines."""
-    text = F.regexp_replace("text", r"(?s)<!--.*?-->", "")
+    # of a comment its line breaks stay, so that lines count
+    split = F.split("text", r"(?s)(?=<!--)|(?<=-->)")
+    text = F.array_join(F.transform(split, lambda x: F.when(x.startswith("<!--"), F.regexp_replace(x, r"[^\n]+", "")).otherwise(x)), "")
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s).*?(<{name}\b(?:[^>]*?/>|[^>]*>.*?</{name}>))"), F.lit(0))
     before = F.transform(pieces, lambda p, i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))))
     rows = files.select("path", F.posexplode(F.arrays_zip(pieces.alias("p"), before.alias("n"))).alias("i", "z"))
@@ -46,25 +66,25 @@ def _items(files: DataFrame, name: str) -> DataFrame:
 
 
 def read_projects(files: DataFrame) -> dict[str, DataFrame]:
-    """projects, package_refs and project_refs of project files (path, text). A file that is no XML is left out.
-
-    Lines count without commented-out parts.
-    """
-    files = files.withColumn("text", F.regexp_replace("text", "^\\uFEFF", "")).where(F.col("text").rlike(r"(?s)<Project\b.*</Project>|<Project\b[^>]*/>"))
+    """projects, package_refs and project_refs of project files (path, text). A file that isn't well-formed XML is left out; commented-out parts don't count."""
+    files = files.withColumn("text", F.regexp_replace("text", "^\\uFEFF", ""))
+    files = files.withColumn("text", F.when(_well_formed()(F.col("text")), F.col("text"))).where("text is not null")
     stem = F.regexp_extract("path", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
     p = files.withColumn("xml", F.regexp_replace("text", r'\sxmlns="[^"]*"', ""))
-    tfms = F.split(_first("xml", "//TargetFrameworks", "//TargetFramework"), r"\s*;\s*")
+    tfms = F.flatten(F.array_compact(F.array(F.array(_first("xml", "//TargetFramework")), F.split(_first("xml", "//TargetFrameworks"), r"\s*;\s*"))))
+    tfms = F.array_compact(tfms)
     frameworks = F.expr("xpath(xml, '//FrameworkReference/@Include')")
     packages = F.expr("xpath(xml, '//PackageReference/@Include')")
-    test = (F.lower(F.coalesce(_first("xml", "//IsTestProject"), F.lit(""))) == "true") | F.exists(packages, lambda x: F.lower(x).isin("microsoft.net.test.sdk") | F.lower(x).startswith("microsoft.testing.platform"))
+    test = (F.lower(F.coalesce(_first("xml", "//IsTestProject"), F.lit(""))) == "true") | F.exists(packages, lambda x: F.lower(x).isin("microsoft.net.test.sdk", "microsoft.testing.platform"))
     projects = p.select(
-        "path", F.coalesce(_first("xml", "//AssemblyName"), stem).alias("assembly_name"), _first("xml", "/Project/@Sdk").alias("sdk"), _first("xml", "//OutputType").alias("output_type"),
+        "path", F.coalesce(_first("xml", "//AssemblyName"), stem).alias("assembly_name"), _first("xml", "/Project/@Sdk", "//Sdk/@Name").alias("sdk"), _first("xml", "//OutputType").alias("output_type"),
         test.alias("is_test"), F.lit(True).alias("is_loaded"), F.coalesce(F.filter(tfms, lambda x: x != ""), F.array().cast("array<string>")).alias("tfms"), frameworks.alias("framework_refs"),
     )
     k = _items(files, "PackageReference")
     private = F.lower(F.coalesce(_attribute("item", "PrivateAssets"), _element("item", "PrivateAssets"), F.lit(""))) == "all"
     excluded = F.lower(F.coalesce(_attribute("item", "ExcludeAssets"), _element("item", "ExcludeAssets"), F.lit(""))).contains("compile")
     version = F.coalesce(_attribute("item", "VersionOverride"), _attribute("item", "Version"), _element("item", "Version"))
+    version = F.nullif(F.regexp_extract(version, r"^\s*[\[(]?\s*([^,\])\s]+)", 1), F.lit(""))  # a range's lower bound
     package_refs = k.select("path", _attribute("item", "Include", "Update").alias("id"), version.alias("min_version"), excluded.alias("compile_excluded"), private.alias("private_all"), "line").where("id is not null")
     r = _items(files, "ProjectReference")
     folder = F.regexp_replace("path", r"[^/]*$", "")
@@ -114,3 +134,18 @@ def read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return rows.where("_corrupt is null").drop("_corrupt")
+
+
+def detached(loaded: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """projects, is_loaded told by whether the solution holds the path (case-blind). loaded: (path); on_disk: projects."""
+    known = loaded.select(F.lower("path").alias("_p")).distinct().withColumn("_l", F.lit(True))
+    return on_disk.join(known, F.lower("path") == F.col("_p"), "left").withColumn("is_loaded", F.coalesce("_l", F.lit(False))).select(on_disk.columns)
+
+
+def newest_patch(folders: DataFrame) -> DataFrame:
+    """(major, path): of folders named by a version (path ends in ``/8.0.3``) the highest of each major, previews last."""
+    from lodeworks.functions.text import version_struct
+
+    name = F.regexp_extract("path", r"([^/\\]+)[/\\]?$", 1)
+    v = folders.withColumn("_v", version_struct(name)).where(name.rlike(r"^\d+\."))
+    return v.groupBy(F.col("_v.major").alias("major")).agg(F.max_by("path", "_v").alias("path"))

@@ -45,7 +45,7 @@ def test_the_report_is_one_json_document(spark, sf_dir):
     report = json.loads("\n".join(lines))
     assert len(report["findings"]) == len(lines) - 2 and "commitSha" not in report
     tiers = [f["certainty"] for f in report["findings"]]
-    assert tiers == sorted(tiers, key=["guaranteed", "high", "moderate", "advisory"].index)
+    assert tiers == sorted(tiers, key=["Guaranteed", "High", "Moderate", "Advisory"].index)
 
 
 def test_flagship(spark):

@@ -113,6 +113,65 @@ def test_unused_package_and_consumers(spark):
     assert len(packages.unused_package(facts(spark, **private)).collect()) == 1
 
 
+def test_exclusive_packages_hold_direct_ones(spark):
+    f = facts(
+        spark,
+        package_refs=[dict(path="p", id=i, line=1) for i in ("A", "B", "C")],
+        lock_deps=[dict(path="p", tfm="t", id=a, dep_id=b) for a, b in (("A", "B"), ("A", "X"), ("B", "Y"), ("C", "Z"), ("A", "Z"))],
+    )
+    got = {(r.id, r.node) for r in packages.package_subtree(f).collect()}
+    assert got == {("a", "b"), ("a", "x")}  # Y stays through B itself, Z through C
+
+
+def test_names_inside_longer_words(spark):
+    names = spark.createDataFrame([("a", "Acme.Core"), ("b", "Acme.Web"), ("c", "Xy")], "path string, assembly_name string")
+    texts = spark.createDataFrame([("t", 'load("Acme.Corelib")'), ("b", "Acme.Web")], "path string, text string")
+    assert sorted(r.path for r in packages.spelled(names, texts).collect()) == ["a", "c"]
+
+
+def test_entry_types_and_skipped_documents(spark):
+    f = facts(
+        spark,
+        declarations=[
+            decl("Home", kind="type"), decl("show", type_id="Home"), decl("Job", kind="type"), decl("Tests", kind="type"), decl("case", type_id="Tests", attributes=["TheoryAttribute"]), decl("help", type_id="Tests"),
+            decl("Plain", kind="type"), decl("go", type_id="Plain"), decl("bench", attributes=["Benchmark"]), decl("made", path="x/obj/m.cs"), decl("head", path="h.cs"), decl("far", path="/else/f.cs"),
+        ],
+        inherits=[dict(derived_id="Home", base_id="Base"), dict(derived_id="Base", base_id="Web.ControllerBase"), dict(derived_id="Job", base_id="IConsumer`1")],
+        documents=[dict(path=p, is_generated=False) for p in ("a.cs", "x/obj/m.cs", "h.cs", "/else/f.cs")],
+        comments=[dict(path="h.cs", line=1, text="// <auto-generated/>"), dict(path="a.cs", line=9, text="// <auto-generated/>")],
+        tokens=[dict(path=p, idx=0, tok="class", line=3) for p in ("h.cs", "a.cs")],
+        roots=[dict(folder="a.cs"), dict(folder="x"), dict(folder="h.cs")],
+    )
+    assert sorted(r.symbol_id for r in f.live_declarations.collect()) == ["Plain", "go"]
+
+
+def test_empty_members_and_static(spark):
+    f = facts(
+        spark,
+        declarations=[
+            decl("T", kind="type"), decl("c", kind="constructor", type_id="T", accessibility="public", is_empty=True, parameters=0), decl("d", kind="destructor", type_id="T", is_empty=True), decl("U", kind="type"),
+            decl("c1", kind="constructor", type_id="U", accessibility="public", is_empty=True, parameters=0), decl("c2", kind="constructor", type_id="U", accessibility="public", parameters=1),
+            decl("s", uses_instance=False), decl("i", uses_instance=True), decl("unknown"),
+        ],
+    )
+    assert symbols(shapes.empty_member(f)) == ["c", "d"]
+    assert [r.symbol_id for r in code.tighten(f).collect() if "static" in r.message] == ["s"]
+
+
+def test_tests_are_not_measured(spark):
+    nodes = [dict(body_id=b, node_id=i, parent_id=None, ord=i, kind="if", line=i) for b in ("m", "t") for i in range(20)]
+    f = facts(spark, ast_nodes=nodes, declarations=[decl("m", path="src/a.cs"), decl("t", path="test/a.cs")])
+    assert symbols(shapes.cyclomatic(f)) == ["m"] and symbols(shapes.cognitive(f)) == ["m"]
+
+
+def test_namespace_of_a_place(spark):
+    from lodeworks.operators.relations import namespace_of
+
+    p = spark.createDataFrame([("a", 1), ("a", 5), ("a", 8), ("b", 3), ("c", 1)], "path string, line int")
+    n = spark.createDataFrame([("a", "A", 3, 10, False), ("a", "A.B", 7, 9, False), ("b", "N", 1, None, True)], "path string, name string, line int, end_line int, file_scoped boolean")
+    assert {(r.path, r.line): r.namespace for r in namespace_of(p, n).collect()} == {("a", 1): None, ("a", 5): "A", ("a", 8): "A.B", ("b", 3): "N", ("c", 1): None}
+
+
 def test_orphans(spark):
     p = lambda n, **k: dict(path=n + ".csproj", assembly_name=n, output_type="Library", is_test=False, is_loaded=True, tfms=[]) | k
     f = facts(spark, projects=[p("App", output_type="Exe"), p("Core"), p("Orphan"), p("Plugin"), p("Tests", is_test=True), p("Loose", is_loaded=False)], project_refs=[dict(path="App.csproj", ref_path="Core.csproj")], spelled_names=[dict(path="x.json", text='load "Plugin" now')])
@@ -130,6 +189,14 @@ def test_flatten_json(spark):
     assert {(r.key, r.value) for r in flatten_json(df, "json").collect()} == {("S:U", "x"), ("S:N:D", "1"), ("L", "[1,2]")}
 
 
+def test_flatten_json_of_any_depth(spark):
+    deep = "1"
+    for k in range(21):
+        deep = f'{{"k{k}": {deep}}}'
+    df = spark.createDataFrame([("a", deep)], "file string, json string")
+    assert [tuple(r) for r in flatten_json(df, "json").collect()] == [("a", ":".join(f"k{k}" for k in reversed(range(21))), "1")]
+
+
 def test_complexity(spark):
     n = lambda i, p, kind, **k: dict(body_id="m", node_id=i, parent_id=p, ord=i, kind=kind, line=i) | k
     # for { for { if } else } , a && b && c || d
@@ -156,13 +223,30 @@ def test_clone_sets_and_drift(spark):
 
 def test_project_files(spark):
     text = '<Project Sdk="Microsoft.NET.Sdk">\n<PropertyGroup><TargetFrameworks>net8.0;net9.0</TargetFrameworks><OutputType>Exe</OutputType></PropertyGroup>\n<ItemGroup>\n<PackageReference Include="A" Version="1.0" PrivateAssets="all" />\n<PackageReference Update="B"><Version>2.0</Version></PackageReference>\n<ProjectReference Include="..\\Core\\Core.csproj" />\n</ItemGroup></Project>'
-    t = read_projects(spark.createDataFrame([("/w/App/App.csproj", text), ("/w/bad.csproj", "no xml")], "path string, text string"))
+    broken = "<Project><PropertyGroup><OutputType>Exe</PropertyGroup></Project>"
+    t = read_projects(spark.createDataFrame([("/w/App/App.csproj", text), ("/w/bad.csproj", "no xml"), ("/w/broken.csproj", broken), ("/w/none.csproj", None)], "path string, text string"))
     p = t["projects"].collect()
     assert [(r.assembly_name, r.sdk, r.output_type, r.is_test, r.tfms) for r in p] == [("App", "Microsoft.NET.Sdk", "Exe", False, ["net8.0", "net9.0"])]
     assert sorted((r.id, r.min_version, r.private_all, r.line) for r in t["package_refs"].collect()) == [("A", "1.0", True, 4), ("B", "2.0", False, 5)]
     assert [(r.ref_path, r.line) for r in t["project_refs"].collect()] == [("/w/Core/Core.csproj", 6)]
 
 
+def test_project_file_with_comments(spark):
+    text = '<Project>\n<!-- a\nb <PackageReference Include="Z" Version="9" />\n-->\n<ItemGroup>\n<PackageReference Include="A" Version="[1.5.0, 2.0)" />\n</ItemGroup>\n<PropertyGroup><TargetFramework>net8.0</TargetFramework></PropertyGroup></Project>'
+    t = read_projects(spark.createDataFrame([("/w/A.csproj", text)], "path string, text string"))
+    assert [(r.id, r.min_version, r.line) for r in t["package_refs"].collect()] == [("A", "1.5.0", 6)]
+    assert [r.tfms for r in t["projects"].collect()] == [["net8.0"]]
+
+
+def test_detached_and_newest_patch(spark):
+    from lodeworks.sources.projects import detached, newest_patch
+
+    disk = spark.createDataFrame([("/w/A.csproj", True), ("/w/B.csproj", True)], "path string, is_loaded boolean")
+    assert {r.path: r.is_loaded for r in detached(spark.createDataFrame([("/W/a.csproj",)], "path string"), disk).collect()} == {"/w/A.csproj": True, "/w/B.csproj": False}
+    f = spark.createDataFrame([("/d/8.0.3",), ("/d/8.0.11",), ("/d/9.0.0-rc.1",), ("/d/9.0.0",), ("/d/x",)], "path string")
+    assert {r.major: r.path for r in newest_patch(f).collect()} == {8: "/d/8.0.11", 9: "/d/9.0.0"}
+
+
 def test_lock_inbox_numstat(spark):
     lock = '{"targets":{"net8.0":{"A/1.2.0":{"type":"package","dependencies":{"B":"[2.0.0, )"}},"P/1.0":{"type":"project"}}}}'
     t = read_lock(spark.createDataFrame([("l", lock), ("m", "{bad")], "path string, text string"))
@@ -201,6 +285,48 @@ def test_run_with_baseline(spark, tmp_path):
     assert third.entropy.first().status == "unchanged_range" and [tuple(r) for r in third.months.collect()] == [("2026-08", 1, 1, 100, 10.0)]
 
 
+def test_run_audits_suppressions_and_reports_new_findings(spark, tmp_path):
+    import json
+
+    docs = [dict(path=f"/w/{p}.cs", namespace=n) for p, n in (("a", "App"), ("b", "App.Gen"), ("c", "App"), ("d", "App"))]
+    virtual = [decl("K", kind="type", path="/w/c.cs", accessibility="public", type_id=None), decl("v", is_virtual=True, accessibility="public", type_id="K", path="/w/c.cs", line=4)]
+    f = facts(spark, declarations=[decl("a", path="/w/a.cs"), decl("b", path="/w/b.cs"), decl("d", path="/w/d.cs"), *virtual], references=[dict(symbol_id=s, path="/w/d.cs", line=9) for s in ("K", "v")], documents=docs, lines=[dict(path="/w/a.cs", line=1, text="  int a;  ")])
+    config = config_of('{"rules": {"R0023": "off", "R0001": "advisory", "R0099": "off"}, "exclude": {"paths": ["d.cs", "**/d.cs", "zz/**"], "namespaces": ["App.Gen", "Old"]}}')
+    base = str(tmp_path / "base")
+    o = Options("/w", audit_suppressions=True, baseline=base, certainty_tier="advisory")
+    got = run(spark, f, o, config, context=dict(head_sha="h"))
+    report = json.loads("\n".join(r.json for r in got.report.collect()))
+    assert [(x["ruleId"], x["filePath"], x["certainty"], x["category"], x.get("lineText")) for x in report["findings"]] == [("R0001", "/w/a.cs", "Advisory", "UnusedPrivateMember", "int a;")]
+    t = report["suppression"]["totals"]
+    assert (t["findingsAnalysed"], t["findingsHiddenByShadow"], t["findingsDropped"], t["findingsDowngraded"], t["hiddenDebtPercent"]) == (2, 2, 1, 1, 75)
+    a = got.audit
+    assert [(e["selector"], e["suppressedCount"]) for e in a["pathGlobs"]] == [("d.cs", 0), ("**/d.cs", 1), ("zz/**", 0)]
+    assert a["severityOverrides"][0]["detail"] == "-> Advisory (was Guaranteedx2)" and a["severityOverrides"][0]["downgradedCount"] == 1
+    assert [(e["selector"], e["suppressedCount"]) for e in a["disabledRules"]] == [("R0023", 1), ("R0099", 0)] and a["namespaceExclusions"][0]["suppressedCount"] == 1
+    assert [(x["channel"], x["selector"]) for x in a["obsolete"]] == [("PathGlob", "d.cs"), ("PathGlob", "zz/**"), ("DisabledRule", "R0099"), ("NamespaceExclusion", "Old")]
+    # the baseline holds what suppressions hide, so lifting them brings nothing new
+    again = run(spark, f, Options("/w", baseline=base, format="sarif"), context=dict(head_sha="h2"))
+    log = json.loads("\n".join(r.json for r in again.report.collect()))
+    assert log["version"] == "2.1.0" and log["runs"][0]["results"] == [] and log["runs"][0]["tool"]["driver"]["rules"] == []
+
+
+def test_sarif(spark):
+    import json
+
+    from lodeworks.sinks.reports import sarif_report, with_line_text
+
+    schema = SCHEMAS["findings"]
+    rows = [("R0002", "Two", "m", 3, 2, "/w/b c.cs", 4, 7, None, [("/w/a.cs", 2)]), ("R0001", "One", "n", 1, 1, "C:\\w\\a.cs", 1, 0, None, None)]
+    lines = spark.createDataFrame([("/w/b c.cs", 4, " x; ")], "path string, line int, text string")
+    run_ = json.loads("\n".join(r.json for r in sarif_report(with_line_text(spark.createDataFrame(rows, schema), lines), "1.0").collect()))["runs"][0]
+    assert [(r["id"], r["name"], r["shortDescription"]["text"]) for r in run_["tool"]["driver"]["rules"]] == [("R0001", "One", "One"), ("R0002", "Two", "Two")]
+    one, two = run_["results"]
+    assert (one["level"], one["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], one["properties"]) == ("error", "file:///C:/w/a.cs", {"certainty": "Guaranteed", "category": "UnreachableCode"})
+    place = two["locations"][0]
+    assert two["level"] == "warning" and place["physicalLocation"] == {"artifactLocation": {"uri": "file:///w/b%20c.cs"}, "region": {"startLine": 4, "startColumn": 7, "snippet": {"text": "x;"}}}
+    assert place["relatedLocations"] == [{"artifactLocation": {"uri": "file:///w/a.cs"}, "region": {"startLine": 2, "startColumn": 1}}]
+
+
 def test_all_rules_run_on_nothing(spark):
     assert rules.analyse(Facts(spark), {"config_analysis", "duplicate_detection", "clone_drift"}).count() == 0
     assert len(rules.RULES) == 30
