@@ -1,7 +1,7 @@
 """Closures over edge tables, by rounds of frontier joins.
 
-Every round joins the newest pairs with the edges and keeps those not seen before; a round is written to the shared folder. Rounds are
-as many as the longest path; a cycle ends when it brings nothing new.
+Every round joins the newest pairs with the edges and keeps those not seen before, by anti-joins with the rounds before it; a round is
+written to the shared folder. Rounds are as many as the longest path; a cycle ends when it brings nothing new.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lodeworks.sources.shared import stage
 
+#: Rounds after which the tables of pairs seen are put into one.
+MERGED = 8
+
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", onward: str | None = None, roots: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
     """(root, node, depth): what each root reaches, by its shortest way.
@@ -23,24 +26,33 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", onward: str |
         step = step.join(blocked.select("node").distinct(), "node", "left_anti")
     step = stage(step, "edges")
     new = (roots.select("root").distinct() if roots is not None else step.select(F.col("s").alias("root")).distinct()).select("root", F.col("root").alias("s"))
-    seen, depth = None, 0
-    front = stage(new.join(step, "s").groupBy("root", "node").agg(F.max("go").alias("go")), "front")
-    rows = []
+    depth = 0
+    front = stage(new.join(step, "s").groupBy("root", "node").agg(F.max("go").alias("go")), "front", gather=True)
+    seen = []  # (root, node, depth, go): pairs as they are first reached, or first reached by an onward edge
     while True:
         depth += 1
-        rows.append(front.select("root", "node", F.lit(depth).alias("depth")))
-        seen = front if seen is None else seen.union(front)
+        seen.append(front.withColumn("depth", F.lit(depth)))
         going = front.where("go").select("root", F.col("node").alias("s"))
-        reached = going.join(step, "s").groupBy("root", "node").agg(F.max("go").alias("go"))
-        # a node is gone on from when an onward edge reaches it, be it later
-        done = seen.groupBy("root", "node").agg(F.max("go").alias("was"))
-        front = stage(reached.join(done, ["root", "node"], "left").where("was is null or (go and not was)").select("root", "node", "go"), "front")
+        front = going.join(step, "s").groupBy("root", "node").agg(F.max("go").alias("go"))
+        # pairs that go on are done with; of the others an onward edge can still bring news. A round before is met once, by an
+        # anti-join that reads its keys only
+        for before in seen:
+            known = before.select(F.col("root").alias("r"), F.col("node").alias("n"), F.col("go").alias("was"))
+            front = front.join(known, (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")) & (F.col("was") | ~F.col("go")), "left_anti")
+        front = stage(front, "front", gather=True)
         if front.isEmpty():
             break
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+        if len(seen) == MERGED:  # so that a round's plan doesn't grow with the depth
+            merged = stage(_union(seen), "seen", gather=True)
+            seen = [merged]
+    return _union(seen).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def exclusive_subtree(edges: DataFrame, roots: DataFrame) -> DataFrame:

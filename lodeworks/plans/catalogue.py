@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as ft
 from lodeworks.operators import clones, closure, entropy, findings, relations
 from lodeworks.operators.graph import connected_components
-from lodeworks.plans import inputs
+from lodeworks.plans import inputs, rule_queries
 from lodeworks.plans.inputs import FINDINGS_SQL, FOREST_SQL, LINES_SQL, NS_SQL
+from lodeworks.plans.rule_queries import NUMBERED_SQL, numbered
+from lodeworks.sinks.reports import CATEGORIES
 from lodeworks.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(rule_queries.QUERIES)
+ORACLE: dict[str, str] = dict(rule_queries.ORACLE)
 
 
 def query(sql: str | None = None):
@@ -87,15 +89,24 @@ def clone_findings(s, d):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def benchmark_contained(s, d):
-    # the item's first words meet the documents' words before the substring is looked for
-    b = table(s, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    docs = table(s, d, "documents").select("doc_id", "text")
-    # a rare inner word of the item, surely whole in any text that contains the item
-    inner = F.filter(F.split("item", "[ \\n]+"), lambda x: x != "")
-    b = b.withColumn("w", F.array_max(F.transform(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
+    # a piece of the item meets the documents' pieces before the substring is looked for
+    b = table(s, d, "benchmark").select("item_id", F.col("text").alias("item")).where("item is not null")
+    docs = table(s, d, "documents").select("doc_id", "text").where("text is not null")
+    # the longest inner word of the item is surely whole in any text that contains it; an item without one is met by its first characters
+    parts = F.split("item", "[ \\n]+")
+    inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != "")
+    b = b.withColumn("w", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \\n]+"))).alias("w"))
     met = words.join(b.where("w is not null").select("item_id", "w"), "w").select("item_id", "doc_id")
-    return met.join(docs, "doc_id").join(b, "item_id").where(F.contains("text", "item")).select("item_id", "doc_id")
+    out = met.join(docs, "doc_id").join(b, "item_id").where(F.contains("text", "item")).select("item_id", "doc_id")
+    bare = b.where("w is null")
+    if not bare.isEmpty():
+        grams = lambda n: docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("g"))
+        for n in (1, 2, 3):
+            some = bare.where(F.length("item") == n if n < 3 else F.length("item") >= n).withColumn("g", F.substring("item", 1, n))
+            out = out.union(grams(n).join(some, "g").where(F.contains("text", "item")).select("item_id", "doc_id"))
+        out = out.union(docs.join(F.broadcast(bare.where("item = ''")), F.contains("text", "item")).select("item_id", "doc_id"))
+    return out
 
 
 @query(
@@ -146,15 +157,12 @@ def contract_rescue(s, d):
 
 @query("SELECT l_orderkey, count(*) AS uses FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_discount < 0.05)")
 def all_uses_direct(s, d):
-    li = table(s, d, "lineitem")
-    return li.groupBy("l_orderkey").agg(F.count("*").alias("uses"), F.bool_and(F.col("l_discount") < 0.05).alias("all")).where("all").drop("all")
+    return relations.all_uses(table(s, d, "lineitem"), "l_orderkey", F.col("l_discount") < 0.05)
 
 
 @query("SELECT user_id, count(*) AS uses FROM events GROUP BY user_id HAVING bool_or(event_type = 'purchase') AND NOT bool_or(event_type = 'view' AND value > 90)")
 def write_only(s, d):
-    e = table(s, d, "events")
-    g = e.groupBy("user_id").agg(F.count("*").alias("uses"), F.bool_or(F.col("event_type") == "purchase").alias("w"), F.bool_or((F.col("event_type") == "view") & (F.col("value") > 90)).alias("r"))
-    return g.where("w and not r").drop("w", "r")
+    return relations.written_not_read(table(s, d, "events"), "user_id", F.col("event_type") == "purchase", (F.col("event_type") == "view") & (F.col("value") > 90))
 
 
 @query("SELECT l_orderkey, count(*) AS places FROM (SELECT l_orderkey, l_linestatus, bool_or(l_quantity >= 10) AS ok FROM lineitem GROUP BY ALL) GROUP BY l_orderkey HAVING bool_and(ok)")
@@ -191,10 +199,10 @@ def consumers_closure(s, d):
     return closure.closure(inputs.forest(s, d), onward="go")
 
 
-@query(f"{REACH_SQL}, x AS (SELECT DISTINCT root, node FROM r WHERE root % 50 = 0) SELECT min(root) AS root, node FROM x GROUP BY node HAVING count(*) = 1")
+@query(f"{REACH_SQL}, x AS (SELECT DISTINCT root, node FROM r) SELECT min(root) AS root, node FROM x GROUP BY node HAVING count(*) = 1")
 def exclusive_subtree(s, d):
     f = inputs.forest(s, d)
-    return closure.exclusive_subtree(f.select("src", "dst"), f.where("src % 50 = 0").select(F.col("src").alias("root")))
+    return closure.exclusive_subtree(f.select("src", "dst"), f.select(F.col("src").alias("root")))
 
 
 @query(f"{REACH_SQL}, e AS (SELECT root, node FROM r UNION SELECT src, src FROM forest) SELECT e.root, f.dst AS node, max(f.version) AS required FROM e JOIN forest f ON f.src = e.node GROUP BY e.root, f.dst")
@@ -337,15 +345,16 @@ def fixed_earlier(s, d):
 
 @query(
     f"""WITH {LINES_SQL}, rep AS (SELECT text FROM lines WHERE text <> '' GROUP BY text HAVING count(DISTINCT doc_id) >= 2),
-fl AS (SELECT doc_id, line, rep.text IS NOT NULL AS flag FROM lines LEFT JOIN rep USING (text)),
-isl AS (SELECT doc_id, line, flag, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM fl WHERE flag),
+fl AS (SELECT doc_id, line, lines.text AS text, rep.text IS NOT NULL AS flag FROM lines LEFT JOIN rep ON rep.text = lines.text),
+isl AS (SELECT doc_id, line, flag, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM fl WHERE text <> ''),
 b AS (SELECT doc_id, min(line) AS start, max(line) AS stop, count(*) AS lines, avg(CASE WHEN flag THEN 1.0 ELSE 0 END) AS share FROM isl GROUP BY doc_id, g)
-SELECT doc_id, start, stop, lines, share FROM b WHERE lines >= 2 AND share >= 0.6"""
+SELECT doc_id, start, stop, lines, round(share, 6) AS share FROM b WHERE lines >= 2 AND share >= 0.6"""
 )
 def flagged_blocks(s, d):
     ln = inputs.lines(s, d)
     rep = ln.where("text != ''").groupBy("text").agg(F.countDistinct("doc_id").alias("n")).where("n >= 2").select("text")
-    return relations.flagged_blocks(ln.join(rep, "text", "left_semi").withColumn("flag", F.lit(True)), ["doc_id"], "line", "flag")
+    marked = ln.where("text <> ''").join(rep.withColumn("f", F.lit(True)), "text", "left").withColumn("flag", F.coalesce("f", F.lit(False)))
+    return relations.flagged_blocks(marked, ["doc_id"], "line", "flag").withColumn("share", F.round("share", 6))
 
 
 @query("SELECT page_id, pos, c[pos] AS comment FROM (SELECT page_id, c, unnest(range(1, len(c) + 1)) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS c FROM pages))")
@@ -423,18 +432,32 @@ def cyclomatic(s, d):
     return score(nodes)
 
 
-@query("SELECT l_orderkey AS body_id, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 + l_linenumber - 1 WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS complexity FROM lineitem GROUP BY l_orderkey")
+@query(
+    f"""WITH {NUMBERED_SQL}, x AS (SELECT *, coalesce(sum(CASE WHEN l_returnflag IN ('R', 'A') THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS deep,
+  CASE WHEN l_linestatus = 'F' THEN 'and' ELSE 'or' END AS op FROM li),
+o AS (SELECT *, CASE WHEN lag(op) OVER (PARTITION BY l_orderkey ORDER BY n) IS DISTINCT FROM op THEN 1 ELSE 0 END AS run FROM x WHERE l_tax < 0.04),
+y AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 1 + deep WHEN 'A' THEN 1 ELSE 0 END AS c FROM x UNION ALL SELECT l_orderkey, run FROM o)
+SELECT l_orderkey AS body_id, CAST(sum(c) AS BIGINT) AS complexity FROM y GROUP BY l_orderkey"""
+)
 def cognitive(s, d):
-    from lodeworks.operators.complexity import cognitive_of
+    from lodeworks.operators.complexity import cognitive as score
 
-    kind = F.when(F.col("l_returnflag") == "R", "if").when(F.col("l_returnflag") == "A", "goto").otherwise("block")
-    return cognitive_of(table(s, d, "lineitem").select(F.col("l_orderkey").alias("body_id"), kind.alias("kind"), (F.col("l_linenumber") - 1).alias("nesting")))
+    # a line of the order is a statement inside the one before it; boolean operators are children of the order's first line
+    n = numbered(s, d)
+    kind = F.when(F.col("l_returnflag") == "R", "if").when(F.col("l_returnflag") == "A", "else").otherwise("block")
+    statements = n.select(F.col("l_orderkey").alias("body_id"), F.col("n").cast("long").alias("node_id"), F.when(F.col("n") > 1, F.col("n") - 1).cast("long").alias("parent_id"), F.col("n").alias("ord"), kind.alias("kind"), F.lit(None).cast("string").alias("operator"))
+    op = F.when(F.col("l_linestatus") == "F", "and").otherwise("or")
+    operators = n.where("l_tax < 0.04").select(F.col("l_orderkey").alias("body_id"), (F.col("n") + 1000).cast("long").alias("node_id"), F.lit(1).cast("long").alias("parent_id"), F.col("n").alias("ord"), op.alias("kind"), op.alias("operator"))
+    return score(statements.unionByName(operators))
 
 
-@query("SELECT l_orderkey, CAST(sum(c) AS BIGINT) AS runs FROM (SELECT l_orderkey, CASE WHEN lag(l_returnflag) OVER w IS DISTINCT FROM l_returnflag OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)) GROUP BY l_orderkey")
+@query(f"""WITH {NUMBERED_SQL}, c AS (SELECT l_orderkey, CASE WHEN lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY n) IS DISTINCT FROM l_returnflag THEN 1 ELSE 0 END AS c FROM li)
+SELECT l_orderkey, CAST(sum(c) AS BIGINT) AS runs FROM c GROUP BY l_orderkey""")
 def operator_runs(s, d):
-    li = table(s, d, "lineitem").withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
-    return relations.runs_of(li, ["l_orderkey"], "o", "l_returnflag")
+    from lodeworks.operators.complexity import operator_runs as runs
+
+    nodes = numbered(s, d).select(F.col("l_orderkey").alias("body_id"), F.col("l_orderkey").alias("tree_id"), F.col("n").alias("ord"), F.col("l_returnflag").alias("operator"))
+    return runs(nodes).groupBy(F.col("body_id").alias("l_orderkey")).agg(F.count("*").alias("runs"))
 
 
 # ---------------------------------------------------------------- findings
@@ -533,7 +556,13 @@ def audit_totals(s, d):
     return findings.audit_totals(inputs.findings(s, d), CONFIG, "moderate", shadowed=7)
 
 
-@query("SELECT * FROM (VALUES ('rule', 'nothing', 'suspected'), ('path', 'none/*', 'certain'), ('namespace', 'zz.none', 'certain')) AS t(channel, selector, confidence)")
+@query(
+    f"""WITH {FINDINGS_SQL}, {NS_SQL}, sel(channel, selector) AS (VALUES ('rule', 'click'), ('rule', 'nothing'), ('override', 'view'), ('override', 'signup')),
+g(selector, pattern) AS (VALUES ('**/u1?/**', '^(?:.*/)?u1[^/]/.*$'), ('**/e*7.cs', '^(?:.*/)?e[^/]*7\\.cs$'), ('none/*', '^none/[^/]*$')), n(selector) AS (VALUES ('net'), ('zz.none'))
+SELECT channel, selector, 'suspected' AS confidence FROM sel WHERE selector NOT IN (SELECT lower(rule_id) FROM f)
+UNION ALL SELECT 'path', selector, 'certain' FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE regexp_matches(file_path, pattern))
+UNION ALL SELECT 'namespace', selector, 'certain' FROM n WHERE NOT EXISTS (SELECT 1 FROM ns WHERE ns = selector OR starts_with(ns, selector || '.'))"""
+)
 def obsolete_suppressions(s, d):
     f = inputs.findings(s, d)
     return findings.obsolete(f, CONFIG, f.select(F.col("file_path").alias("path")), inputs.namespaces(s, d).select("ns"))
@@ -554,17 +583,21 @@ def _ledger(s, d):
     return table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("commit_sha"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("recorded_at_utc"), (F.col("o_orderkey") % 10).alias("new_findings"), (F.col("o_orderkey") % 4).alias("resolved_findings"), (F.col("o_custkey") % 700 - 20).alias("lines_changed"))
 
 
-STATUS_ROWS = [
-    (False, None, True, "h", False, 10), (True, None, True, "h", False, 10), (True, "b", False, "h", False, 10), (True, "b", True, None, False, 10), (True, "b", True, "h", True, 10), (True, "b", True, "h", False, None),
-    (True, "h", True, "h", False, 10), (True, "b", True, "h", False, 0), (True, "b", True, "h", False, 49), (True, "b", True, "h", False, 50), (True, "b", True, "h", False, 5000),
-]
-STATUSES = ["baseline_seeded", "no_baseline_reference", "not_a_git_repository", "not_a_git_repository", "dirty_working_tree", "not_a_git_repository", "unchanged_range", "below_minimum_change", "below_minimum_change", "scored", "scored"]
+STATUS_SQL = """st AS (SELECT o_orderkey AS id, o_orderkey % 11 <> 0 AS baseline_existed, CASE WHEN o_orderkey % 7 <> 0 THEN 'h' || (o_custkey % 3) END AS baseline_sha, o_orderkey % 13 <> 0 AS is_git, CASE WHEN o_orderkey % 5 <> 0 THEN 'h' || (o_orderkey % 4) END AS head_sha,
+  o_orderkey % 17 = 0 AS dirty, CASE WHEN o_orderkey % 19 <> 0 THEN CAST(o_custkey % 120 - 5 AS INTEGER) END AS lines FROM orders)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(STATUSES)) + ") AS t(id, status)")
+@query(
+    f"""WITH {STATUS_SQL} SELECT id, CASE WHEN NOT baseline_existed THEN 'baseline_seeded' WHEN baseline_sha IS NULL THEN 'no_baseline_reference' WHEN NOT is_git OR head_sha IS NULL THEN 'not_a_git_repository' WHEN dirty THEN 'dirty_working_tree'
+  WHEN lines IS NULL THEN 'not_a_git_repository' WHEN baseline_sha = head_sha THEN 'unchanged_range' WHEN lines < 50 THEN 'below_minimum_change' ELSE 'scored' END AS status FROM st"""
+)
 def entropy_status(s, d):
-    rows = [(i, *r) for i, r in enumerate(STATUS_ROWS)]
-    df = s.createDataFrame(rows, "id int, baseline_existed boolean, baseline_sha string, is_git boolean, head_sha string, dirty boolean, lines int")
+    k = F.col("o_orderkey")
+    sha = lambda c, n: F.concat(F.lit("h"), (F.col(c) % n).cast("string"))
+    df = table(s, d, "orders").select(
+        k.alias("id"), (k % 11 != 0).alias("baseline_existed"), F.when(k % 7 != 0, sha("o_custkey", 3)).alias("baseline_sha"), (k % 13 != 0).alias("is_git"), F.when(k % 5 != 0, sha("o_orderkey", 4)).alias("head_sha"),
+        (k % 17 == 0).alias("dirty"), F.when(k % 19 != 0, (F.col("o_custkey") % 120 - 5).cast("int")).alias("lines"),
+    )
     return df.select("id", entropy.status().alias("status"))
 
 
@@ -633,11 +666,29 @@ def sarif_rules(s, d):
     return rules(inputs.findings(s, d), "event_id")
 
 
-@query()
+NAMES_SQL = f"""t AS (SELECT *, CASE certainty WHEN 1 THEN 'Guaranteed' WHEN 2 THEN 'High' WHEN 3 THEN 'Moderate' ELSE 'Advisory' END AS tier, CASE WHEN certainty = 1 THEN 'error' WHEN certainty = 4 THEN 'note' ELSE 'warning' END AS level,
+  list_extract([{", ".join(f"'{c}'" for c in CATEGORIES)}], category) AS cat, CASE WHEN row_number() OVER (ORDER BY certainty, file_path, line_number, character_offset, rule_id, message, category, title) > 1 THEN ',' ELSE '' END AS comma FROM f)"""
+
+
+@query(
+    f"""WITH {FINDINGS_SQL}, {NAMES_SQL} SELECT '{{"toolVersion":"1.0","generatedAtUtc":"2024-01-01T00:00:00Z","findings":[' AS json UNION ALL SELECT ']}}'
+UNION ALL SELECT comma || '{{"ruleId":"' || rule_id || '","title":"' || title || '","message":"' || message || '","certainty":"' || tier || '","category":"' || cat || '","filePath":"' || file_path || '","lineNumber":' || line_number || ',"characterOffset":' || character_offset || '}}' FROM t"""
+)
 def report_json(s, d):
     from lodeworks.sinks.reports import json_report
 
-    return json_report(findings.report_order(inputs.findings(s, d)), tool_version="1.0", commit_sha=None, generated_at_utc="2024-01-01T00:00:00Z")
+    return json_report(inputs.findings(s, d), tool_version="1.0", commit_sha=None, generated_at_utc="2024-01-01T00:00:00Z")
+
+
+@query(
+    f"""WITH {FINDINGS_SQL}, {NAMES_SQL}, ru AS (SELECT rule_id AS id, min_by(title, (certainty, file_path, line_number, character_offset, rule_id, message, category, title)) AS name FROM f GROUP BY rule_id)
+SELECT '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"lodeworks","version":"1.0","rules":[' || string_agg('{{"id":"' || id || '","name":"' || name || '","shortDescription":{{"text":"' || name || '"}}}}', ',' ORDER BY id) || ']}}}},"results":[' AS json FROM ru
+UNION ALL SELECT ']}}]}}' UNION ALL SELECT comma || '{{"ruleId":"' || rule_id || '","level":"' || level || '","message":{{"text":"' || message || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"file://' || file_path || '"}},"region":{{"startLine":' || line_number || ',"startColumn":' || character_offset || '}}}}}}],"properties":{{"certainty":"' || tier || '","category":"' || cat || '"}}}}' FROM t"""
+)
+def sarif_report(s, d):
+    from lodeworks.sinks.reports import sarif_report as log
+
+    return log(inputs.findings(s, d), "1.0")
 
 
 @query("SELECT message, count(*) AS copies FROM (SELECT 'value ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS message FROM events) GROUP BY message")
@@ -655,11 +706,16 @@ def namespace_inventory(s, d):
     return table(s, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("ns")).distinct()
 
 
-@query()
+CODE = ["try { Go(); }", "var a = b ?? c;", "x?.Close();", "return 1;", "if (n == null)", "throw new E();", "int count = 3;", "if (rows.Count > 0)", "} catch (E)", "// ?? == null", "go(); // n is null", "if (a) go();"]
+FIXES = (0, 1, 2, 4, 5, 7, 8)
+
+
+@query(f"SELECT l_orderkey, l_suppkey % {len(CODE)} AS a, l_partkey % {len(CODE)} AS r, a IN {FIXES} AND a <> r AS fix, count(*) AS times FROM lineitem GROUP BY ALL")
 def fix_shape(s, d):
+    """Changes of one line: what is added against what is removed."""
     from lodeworks.functions.fix_shape import fix_shaped
 
-    ln = inputs.lines(s, d)
-    after = ln.select("doc_id", (F.col("line") - 1).alias("line"), F.col("text").alias("added"))
-    both = ln.join(after, ["doc_id", "line"])
-    return both.select("doc_id", "line", fix_shaped(F.array("added"), F.array("text")).alias("fix"))
+    of = lambda c: F.get(F.array(*map(F.lit, CODE)), F.col(c).cast("int"))
+    li = table(s, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % len(CODE)).alias("a"), (F.col("l_partkey") % len(CODE)).alias("r"))
+    g = li.groupBy("l_orderkey", "a", "r").agg(F.count("*").alias("times"))
+    return g.withColumn("fix", fix_shaped(F.array(of("a")), F.array(of("r"))))

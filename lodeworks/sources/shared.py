@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of each action are deleted when the action is over: its result is written, nobody reads them again."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def stage(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -35,7 +49,8 @@ def stage(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    (df.hint("rebalance") if gather else df).write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        (df.hint("rebalance") if gather else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
