@@ -11,8 +11,20 @@ from pyspark.sql import types as T
 from lodeworks.llm.rows import only
 
 
-def add_columns(df: DataFrame, source: str, made: dict[str, pa.DataType], factory: Callable[[], Callable[[list], list[list]]], rows: int = 512) -> DataFrame:
-    """``df`` with the columns ``made`` (replaced where present), a few rows at a time.
+#: Rows of an Arrow batch. Texts can be long, and a batch is held by the executor and by its Python worker at once.
+ROWS = 256
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of ``ROWS`` rows at most (a setting of the session from then on)."""
+    setting, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(setting)) <= ROWS:
+        conf.set(setting, str(ROWS))
+    return df.mapInArrow(work, schema)
+
+
+def add_columns(df: DataFrame, source: str, made: dict[str, pa.DataType], factory: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+    """``df`` with the columns ``made`` (replaced where present), a batch at a time.
 
     ``factory`` runs once for a task and gives the function from the values of ``source`` to one list for each column; what
     the function has as ``finish`` runs at the task's end, as workers live on.
@@ -23,13 +35,11 @@ def add_columns(df: DataFrame, source: str, made: dict[str, pa.DataType], factor
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = factory()
-        for whole in batches:
-            for start in range(0, len(whole), rows):
-                b = whole.slice(start, rows)
-                new = [pa.array(v, k) for v, k in zip(make(b.column(at).to_pylist()), made.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=names)
+        for b in batches:
+            new = [pa.array(v, k) for v, k in zip(make(b.column(at).to_pylist()), made.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=names)
         getattr(make, "finish", int)()
 
     kinds = {pa.string(): T.StringType(), pa.binary(): T.BinaryType(), pa.float64(): T.DoubleType(), pa.int64(): T.LongType()}
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, [*(df.schema[c].dataType for c in kept), *map(kinds.get, made.values())], strict=True)])
-    return only(df, kept).toDF(*names[: len(kept)]).mapInArrow(work, schema).toDF(*kept, *made)
+    return mapped(only(df, kept).toDF(*names[: len(kept)]), work, schema).toDF(*kept, *made)

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.arrow import add_columns
+from lodeworks.llm.arrow import add_columns, mapped
 from lodeworks.llm.byte_bpe import read_ranks
 from lodeworks.llm.rows import named, packed, unpacked
 
@@ -207,7 +207,7 @@ def train(docs: DataFrame, rank_file: bytes, doc_id: str = "doc_id", text: str =
             found = Counter((k, w) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in words_of(t))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["l", "w", "n"])
 
-    counted = of.join(F.broadcast(chosen), ["i", "l"]).select(F.col("l").cast("string").alias("l"), "t").mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    counted = mapped(of.join(F.broadcast(chosen), ["i", "l"]).select(F.col("l").cast("string").alias("l"), "t"), count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     for row in counted.orderBy("l", "w").toLocalIterator():  # the distinct words of per_language rows a language
         counts.setdefault(row.l, {})[row.w] = row.n

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.llm.arrow import mapped
 from lodeworks.llm.rows import keys, named, packed, unpacked
 from lodeworks.operators.graph import connected_components
 from lodeworks.sources.shared import discard, stage
@@ -79,7 +80,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     rows = docs.select(*keys(named(doc_id), named(text)), named(doc_id).alias("doc_id"), named(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(read, f"k1 long, k2 long, doc_id {kind}, fp long")
+    return mapped(rows, read, f"k1 long, k2 long, doc_id {kind}, fp long")
 
 
 def points_of(fp: np.ndarray) -> np.ndarray:
@@ -115,7 +116,7 @@ def cells(points: DataFrame) -> DataFrame:
     # a point makes 70 rows, so points are dealt by a key that no shuffle before has used: one by fp would be left out and its small
     # parts merged into a few tasks
     parts = -(-int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    return points.select("fp").repartition(parts, F.xxhash64("fp")).mapInArrow(deal, "cell long, fp long")
+    return mapped(points.select("fp").repartition(parts, F.xxhash64("fp")), deal, "cell long, fp long")
 
 
 def _forest(fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -164,7 +165,7 @@ def links(grouped: DataFrame, radius: int) -> DataFrame:
             held_c, held_f = cell[cut:], fp[cut:]
         yield from found(held_c, held_f)
 
-    return grouped.mapInArrow(verify, "a long, b long")
+    return mapped(grouped, verify, "a long, b long")
 
 
 def midpoint_links(points: DataFrame, radius: int) -> DataFrame:
@@ -180,7 +181,7 @@ def midpoint_links(points: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ flips).ravel().view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], names=["middle", "fp"])
 
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    between = points.select("fp").repartition(parts, F.xxhash64("fp")).mapInArrow(deal, "middle long, fp long")
+    between = mapped(points.select("fp").repartition(parts, F.xxhash64("fp")), deal, "middle long, fp long")
     least = between.groupBy("middle").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("each"))  # 2,081 at most
     return least.where(F.size("each") > 1).select("a", F.explode("each").alias("b")).where("a <> b").distinct()
 
