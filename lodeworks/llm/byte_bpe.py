@@ -8,7 +8,7 @@ rank file crosses their border, going back through the merges that made them. Th
 re-encoding near an edit (:class:`PrefixEncoder`): tokens before an edit stay, tokens behind it are computed until as
 many as the longest token agree with the former ones.
 
-Texts are split by the tokenizer's pattern, each match is encoded by itself, without special tokens; letters, numbers
+Texts are split by the tokenizer's pattern, each match is encoded by itself (a match that is a token is that token, as in the tiktoken library), without special tokens; letters, numbers
 and white space are what the tiktoken library takes for them, whose Unicode version can be another. Pieces are
 remembered in a table of bounded size for each Python worker (not those longer than ``LONG`` characters); new ones are
 encoded in byte order, each going on from the prefix it shares with the one before. Time is linear in a piece's length.
@@ -107,6 +107,10 @@ class Vocabulary:
         """Encode pieces in byte order: each goes on from the prefix it shares with the one before."""
         last, before = [-1], b""
         for data in pieces:
+            if (whole := self.ranks.get(data)) is not None:
+                # a piece that is a token is that token, even if no merges lead to it
+                yield [whole]
+                continue
             same, most = 0, min(len(data), len(before))
             while same < most and data[same] == before[same]:
                 same += 1
@@ -141,6 +145,8 @@ class Vocabulary:
 
     def _follows(self, a: int, b: int) -> bool:
         # Undo merges, the later one first; a merge across the border that comes before the one just undone forbids the pair.
+        if b not in self.whole:
+            return False  # no merges make it
         bound = len(self.tokens)
         halves, merged = self.halves, self.merged
         while True:
@@ -182,7 +188,8 @@ class PrefixEncoder:
         return len(self.data) - start
 
     def ids(self) -> list[int]:
-        return self.v.walk(self.data, self.last)
+        whole = self.v.ranks.get(self.data)
+        return self.v.walk(self.data, self.last) if whole is None else [whole]
 
 
 def stand_ins() -> dict[int, str]:

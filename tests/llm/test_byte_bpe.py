@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import struct
@@ -63,3 +64,12 @@ def test_cases(spark):
     rows = both.collect()
     assert len(rows) == 5 and all(bytes(r.back).decode() == (r.text or "") and (r.ids, r.decoded, r["a.b"]) == (1, 2, 3) for r in rows)
     assert byte_bpe.digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_token_that_no_merges_make():
+    ranks = {bytes([i]): i for i in range(256)} | {b"abc": 256}
+    library = tiktoken.Encoding("odd", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    codec = byte_bpe.Codec(b"\n".join(base64.b64encode(k) + b" " + str(v).encode() for k, v in ranks.items()), r"\S+|\s+")
+    texts = ["abc", "xabc abc", "abcabc"]
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in codec.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert byte_bpe.PrefixEncoder(byte_bpe.Vocabulary(ranks), b"abc").ids() == [256]
