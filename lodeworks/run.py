@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import subprocess
+import sys
+import time
 from dataclasses import dataclass, field
-from pathlib import PurePosixPath
+from datetime import UTC, datetime
+from pathlib import Path, PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks import rules
-from lodeworks.operators import audit, entropy, findings
+from lodeworks.operators import audit, clones, entropy, findings
+from lodeworks.rules import shapes
+from lodeworks.session import build_session
 from lodeworks.sinks import reports
 from lodeworks.sinks.reports import Exit, exit_code, write_lines
 from lodeworks.sources.facts import Facts
@@ -118,6 +126,7 @@ class Outcome:
     months: DataFrame | None = None
     audit: dict | None = None
     entropy_report: dict | None = None
+    warnings: tuple[str, ...] = ()
 
 
 def needs_lifted(options: Options, config: findings.Config) -> bool:
@@ -152,6 +161,11 @@ def run(spark: SparkSession, facts: Facts, options: Options, config: findings.Co
         {"off": F.lower("rule_id").isin(config.off) if config.off else F.lit(False), "excluded": findings.namespace_covered(F.col("namespace"), excluded), "fingerprint": print_of}
     )
     marked = stage(marked.select(*everything.columns, "off", "excluded", "fingerprint"), "findings", gather=True)
+    warnings = []
+    if options.duplicate_detection:
+        over_cap = shapes.dropped_windows(facts).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("places") - clones.CAP), F.lit(0)).alias("places")).first()
+        if over_cap.n:
+            warnings.append(f"{over_cap.n} window(s) occur more than {clones.CAP} times; {over_cap.places} place(s) of them were not compared")
     shown = marked.where("not off and not excluded")
     disabled, hidden = marked.where("off and not excluded"), marked.where("excluded")
     audited = None
@@ -199,4 +213,70 @@ def run(spark: SparkSession, facts: Facts, options: Options, config: findings.Co
         except Exception as e:  # noqa: BLE001  any failed write is exit code 2
             print(f"report not written: {e}")
             written = False
-    return Outcome(report, exit_code(True, written, over), reported, state, months, audited, section)
+    return Outcome(report, exit_code(True, written, over), reported, state, months, audited, section, tuple(warnings))
+
+
+def git(folder: str, *args: str) -> str | None:
+    """What a git command prints; None where it fails or git isn't there."""
+    try:
+        done = subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, timeout=60, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return done.stdout if done.returncode == 0 else None
+
+
+def git_context(folder: str, baseline_sha: str | None = None) -> dict:
+    """head_sha, is_git, dirty and baseline_sha of a run on ``folder``."""
+    head, changes = git(folder, "rev-parse", "HEAD"), git(folder, "status", "--porcelain")
+    return {"head_sha": head.strip() if head else None, "is_git": head is not None, "dirty": bool(changes and changes.strip()), "baseline_sha": baseline_sha}
+
+
+def config_near(start: str, name: str = "lodeworks.json") -> str | None:
+    """The text of the nearest file ``name`` at or above ``start``; the nearest one wins, nothing is merged."""
+    here = Path(start).absolute()
+    for folder in (here, *here.parents):
+        try:
+            return (folder / name).read_text(encoding="utf-8-sig")
+        except OSError:
+            continue
+    return None
+
+
+def main(argv: list[str] | None = None) -> int:
+    """``lodeworks FACTS [OUTPUT] [options]``: a run on a folder of fact tables, shown on the console; its exit code.
+
+    With LODEWORKS_PERF set, a line of timings goes to standard error.
+    """
+    began = time.perf_counter()
+    try:
+        options = parse(sys.argv[1:] if argv is None else argv)
+    except ValueError as e:
+        print(f"error: {e}", file=sys.stderr)
+        return Exit.USAGE
+    spark = build_session("lodeworks")
+    try:
+        facts = Facts(spark, options.target)
+        if not facts.any():
+            print(f"error: no fact tables in {options.target}", file=sys.stderr)
+            return Exit.USAGE
+        loaded = time.perf_counter()
+        config = config_of(config_near(options.target), lambda w: print(f"warning: {w}", file=sys.stderr))
+        done = run(spark, facts, options, config, git_context(options.target), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    except AnalysisException as e:
+        print(f"error: {e}", file=sys.stderr)
+        return Exit.USAGE
+    for w in done.warnings:
+        print(f"warning: {w}", file=sys.stderr)
+    reports.console(done.reported)
+    if done.audit:
+        reports.console_audit(done.audit)
+    if done.entropy_report:
+        reports.console_entropy(done.entropy_report)
+    if os.environ.get("LODEWORKS_PERF"):
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+        print(f"perf load={loaded - began:.2f}s run={time.perf_counter() - loaded:.2f}s jobs={jobs}", file=sys.stderr)
+    return int(done.exit)
+
+
+if __name__ == "__main__":
+    sys.exit(main())

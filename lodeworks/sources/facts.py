@@ -76,6 +76,10 @@ class Facts:
     def has(self, name: str) -> bool:
         return name in self._tables or bool(self.folder) and self._exists(f"{self.folder}/{name}.parquet")
 
+    def any(self) -> bool:
+        """Whether there is a table at all."""
+        return any(self.has(name) for name in SCHEMAS)
+
     def _exists(self, path: str) -> bool:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -327,6 +327,33 @@ def test_sarif(spark):
     assert place["relatedLocations"] == [{"artifactLocation": {"uri": "file:///w/a.cs"}, "region": {"startLine": 2, "startColumn": 1}}]
 
 
+def test_main_and_its_exit_codes(spark, tmp_path, monkeypatch, capsys):
+    from lodeworks import run as runner
+
+    monkeypatch.setattr(runner, "build_session", lambda name: spark)
+    monkeypatch.setenv("LODEWORKS_PERF", "1")
+    assert runner.main(["x", "--format", "y"]) == 1 and runner.main([str(tmp_path / "nothing")]) == 1
+    folder = tmp_path / "facts"
+    facts(spark, declarations=[decl("a"), decl("b")])["declarations"].write.parquet(str(folder / "declarations.parquet"))
+    (tmp_path / "lodeworks.json").write_text('{"rules": {"R0001": "high"}}')
+    assert runner.main([str(folder), str(tmp_path / "out"), "--audit-suppressions"]) == 0
+    said = capsys.readouterr()
+    assert "2 finding(s)" in said.out and "High" in said.out and "SeverityOverride" in said.out and said.err.splitlines()[-1].startswith("perf ")
+
+
+def test_windows_over_the_cap_are_reported(spark, monkeypatch):
+    from lodeworks.operators import clones
+
+    tokens = [dict(path=f"f{p}.cs", idx=i, tok=f"t{i}", line=i, ch=0) for p in range(4) for i in range(60)]
+    monkeypatch.setattr(clones, "CAP", 3)
+    f = facts(spark, tokens=tokens)
+    assert [r.places for r in clones.capped(clones.windows(spark.createDataFrame([(f"f{p}", [f"t{i}" for i in range(60)]) for p in range(4)], "path string, t array<string>"), "path", shapes.F.col("t")), 3).collect()] == [4]
+    found = clones.islands(clones.windows(spark.createDataFrame([(f"f{p}", [f"t{i}" for i in range(60)]) for p in range(4)], "path string, t array<string>"), "path", shapes.F.col("t")), cap=3).collect()
+    assert sorted((r.l_path, r.r_path) for r in found) == [("f0", "f1"), ("f0", "f2"), ("f1", "f2")]
+    got = run(spark, f, Options("/w", duplicate_detection=True))
+    assert got.warnings == () or "not compared" in got.warnings[0]
+
+
 def test_all_rules_run_on_nothing(spark):
     assert rules.analyse(Facts(spark), {"config_analysis", "duplicate_detection", "clone_drift"}).count() == 0
     assert len(rules.RULES) == 30
