@@ -22,6 +22,7 @@ in, no rows out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.arrow import add_columns
+from lodeworks.llm.arrow import add_columns, mapped
 from lodeworks.llm.rows import keys, named, packed, unpacked
 from lodeworks.sources.shared import discard, stage
 
 LEAST_WORDS, LONG = 36, 24
 _CUT = regex.compile(r"(?<=[.!?])\s+|\n\s*|\s+(?=\p{Lu})")
+# the same for ASCII texts, faster
+_PLAIN_CUT = re.compile(r"(?<=[.!?])[ \t-\r]+|\n[ \t-\r]*|[ \t-\r]+(?=[A-Z])")
+# scripts without spaces and their stops begin here; cheaper to ask for
+_HIGH = re.compile("[\u0e00-\U0010ffff]")
 _WIDE_STOP = regex.compile("[。！？｡]")
 # slower, so only for texts that hold such a stop
 _WIDE_CUT = regex.compile(rf"{_CUT.pattern}|{_WIDE_STOP.pattern}\s*")
@@ -64,7 +69,7 @@ _POWERS = [_Powers(b) for b in _BASES]
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence, white space behind it included; together they are the text."""
-    cut = _CUT if text.isascii() or not _WIDE_STOP.search(text) else _WIDE_CUT
+    cut = _PLAIN_CUT if text.isascii() else _WIDE_CUT if _HIGH.search(text) and _WIDE_STOP.search(text) else _CUT
     ends = [m.end() for m in cut.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
@@ -79,21 +84,30 @@ class Pieces:
     """A text's words and where it is cut."""
 
     def __init__(self, text: str):
-        self.text, self.spans = text, sentences(text)
-        self.spaced = text.isascii() or not _UNSPACED.search(text)
-        words: list[str] = []
-        first = []  # of each sentence its first word's number
-        for a, b in self.spans:
-            first.append(len(words))
-            words += _words(text[a:b].lower(), self.spaced)
+        self.text = text
+        plain = text.isascii()
+        self.spaced = plain or not _HIGH.search(text) or not _UNSPACED.search(text) and not _WIDE_STOP.search(text)
+        if self.spaced and "\0" not in text:
+            words = (_PLAIN_CUT if plain else _CUT).sub(" \0 ", text).lower().split()
+            marks = np.array([i for i, w in enumerate(words) if w == "\0"], np.int64)
+            first = np.concatenate((np.zeros(1, np.int64), marks - np.arange(len(marks))))
+            words = [w for w in words if w != "\0"]
+        else:
+            words, first = [], []
+            for a, b in sentences(text):
+                first.append(len(words))
+                words += _words(text[a:b].lower(), self.spaced)
         n = len(words)
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-        self.first = np.array(first, np.int64)
-        starts = np.unique(self.first[self.first < n])
-        size = np.diff(np.append(starts, n))
-        inner = np.flatnonzero(np.repeat(size > LONG, size) & (self.hashes & np.uint64(3) == 0))
-        self.sentence_ends = np.append(starts[1:], n) if n else starts
-        self.cuts = np.append(np.union1d(starts, inner), n)
+        first = np.asarray(first, np.int64)  # of each sentence its first word's number, in order; blank ones repeat the next one's
+        mark = np.zeros(n + 1, bool)
+        mark[first] = True
+        mark[n] = True
+        starts = np.flatnonzero(mark)
+        self.sentence_ends = starts[1:]
+        size = np.diff(starts)
+        mark[:n] |= np.repeat(size > LONG, size) & (self.hashes & np.uint64(3) == 0)
+        self.cuts = np.flatnonzero(mark)
 
     def runs(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and word counts of the runs."""
@@ -101,12 +115,13 @@ class Pieces:
         if cuts[-1] < least:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.searchsorted(cuts, cuts[:-1] + least)
-        on = at < len(cuts)
+        forth = np.append(cuts, -1)[at]  # the end of the run from each cut on, -1 for none
         ends = self.sentence_ends[self.sentence_ends >= least]
-        start = np.concatenate((cuts[:-1][on], cuts[np.searchsorted(cuts, ends - least, "right") - 1]))
-        stop = np.concatenate((cuts[at[on]], ends))
-        both = np.unique(start << 32 | stop)
-        return both >> 32, (both & 0xFFFFFFFF) - (both >> 32)
+        back = np.searchsorted(cuts, ends - least, "right") - 1
+        new = forth[back] != ends
+        on = forth >= 0
+        start = np.concatenate((cuts[:-1][on], cuts[back[new]]))
+        return start, np.concatenate((forth[on], ends[new])) - start
 
     def digests(self, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         """Two 64-bit hashes of each run."""
@@ -127,15 +142,17 @@ class Pieces:
             mark[start] += 1
             mark[start + size] -= 1
         out = (np.cumsum(mark) > 0)[self.cuts[:-1]]
-        begins, cuts, k = [], set(self.cuts[:-1].tolist()), 0
-        for a, b in self.spans:
-            at = a
-            for j, word in enumerate(_words(self.text[a:b], self.spaced)):
-                at = self.text.index(word, at)
-                if k in cuts:
-                    begins.append(at if j else a)
-                at += len(word)
-                k += 1
+        begins, cuts, k = [], self.cuts[:-1].tolist(), 0
+        for a, b in sentences(self.text):
+            if len(begins) == len(cuts):
+                break
+            words, at, j = _words(self.text[a:b], self.spaced), a, 0
+            while len(begins) < len(cuts) and cuts[len(begins)] < k + len(words):
+                for word in words[j : cuts[len(begins)] - k]:
+                    at = self.text.index(word, at) + len(word)
+                j = cuts[len(begins)] - k
+                begins.append(self.text.index(words[j], at) if j else a)
+            k += len(words)
         begins[0] = 0  # white space before the first word
         kept = [self.text[a:b] for a, b, o in zip(begins, [*begins[1:], len(self.text)], out.tolist(), strict=True) if not o]
         return "".join(kept), int(out.sum())
@@ -172,7 +189,7 @@ def _spans(rows: DataFrame, places: bool, least: int) -> DataFrame:
                 h2 = pa.array((np.concatenate(two) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([h1, h2, b.column(1).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(place)), pa.array(np.concatenate(sizes).astype(np.int32))], names=["h1", "h2", "i", "at", "size"])
 
-    return rows.select("t", "i", "k").mapInArrow(work, f"h1 long, h2 int, i {kind}, at long, size int" if places else "h1 long")
+    return mapped(rows.select("t", "i", "k"), work, f"h1 long, h2 int, i {kind}, at long, size int" if places else "h1 long")
 
 
 def _key(doc_id: Column, text: Column) -> Column:
