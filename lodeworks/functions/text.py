@@ -100,3 +100,8 @@ def version_struct(version: Column) -> Column:
     number = lambda i: F.coalesce(F.expr("0").cast("bigint") + F.get(parts, F.lit(i)).try_cast("bigint"), F.lit(0).cast("bigint"))
     pre = F.regexp_extract(version, r"^\s*[\[(]?\s*v?\d+(?:\.\d+)*-([0-9A-Za-z.\-]+)", 1)
     return F.struct(number(0).alias("major"), number(1).alias("minor"), number(2).alias("patch"), number(3).alias("revision"), (pre == "").alias("release"), pre.alias("prerelease"))
+
+
+def iso_to_utc(text: Column) -> Column:
+    """An ISO-8601 date and time, with any offset, as ``yyyy-MM-ddTHH:mm:ssZ`` in UTC; null if it is none. The session's zone is UTC."""
+    return F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_staged: ContextVar[list[DataFrame] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """The tables staged within it, as a list: for who wants to delete them once the result is written."""
+    tables: list[DataFrame] = []
+    token = _staged.set(tables)
+    try:
+        yield tables
+    finally:
+        _staged.reset(token)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Within it the shuffle files of each action are deleted when the action is over: its result is written, nobody reads them again."""
@@ -53,6 +68,8 @@ def stage(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
         (df.hint("rebalance") if gather else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    if (tables := _staged.get()) is not None:
+        tables.append(out)
     return out
 
 
