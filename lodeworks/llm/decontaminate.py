@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.rows import keys, named, packed, unpacked
-from lodeworks.sources.shared import stage
+from lodeworks.sources.shared import discard, noted, stage
 
 WIDTH, FEWEST, LEAST, STRAIGHT, BROADCAST_ROWS = 8, 5, 0.3, 43, 1_000_000
 NUMBER, UNIT, NAME = "0", "1", "2"
@@ -144,8 +144,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that no item contaminates; columns unchanged."""
-    found = leaks(docs, benchmark, doc_id, text).select("k1", "k2").distinct()
-    found = stage(found, "leaks")
+    with noted() as tables:
+        found = stage(leaks(docs, benchmark, doc_id, text).select("k1", "k2").distinct(), "leaks", gather=True)
+    discard(*(t for t in tables if t is not found))
     some = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     rows = packed(docs, i=doc_id, t=text).select(*keys(F.col("i"), F.col("t")), "row")
     return unpacked(rows.join(some, ["k1", "k2"], "left_anti"), docs.columns)

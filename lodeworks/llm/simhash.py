@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lodeworks.llm.arrow import mapped
 from lodeworks.llm.rows import keys, named, packed, unpacked
 from lodeworks.operators.graph import connected_components
-from lodeworks.sources.shared import discard, stage
+from lodeworks.sources.shared import discard, noted, stage
 
 CROWD = 4096
 #: Segments are two bits, groups of coordinates a byte.
@@ -219,7 +219,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One document of each component stays: the one with the smallest id, ids before nulls; columns unchanged."""
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"), F.col("k2"))
-    best = components(docs, doc_id, text, width, radius).groupBy("part").agg(F.min(rank).alias("r")).select("r.k1", "r.k2")
+    with noted() as tables:
+        best = components(docs, doc_id, text, width, radius).groupBy("part").agg(F.min(rank).alias("r")).select("r.k1", "r.k2")
+        best = stage(best, "best", gather=True)
+    discard(*(t for t in tables if t is not best))
     rows = packed(docs, i=doc_id, t=text)
     # rows alike in id and text are one document
     return unpacked(rows.select(*keys(F.col("i"), F.col("t")), "row").join(best, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), docs.columns)
