@@ -10,7 +10,7 @@ many as the longest token agree with the former ones.
 
 Texts are split by the tokenizer's pattern, each match is encoded by itself (a match that is a token is that token, as in the tiktoken library), without special tokens; letters, numbers
 and white space are what the tiktoken library takes for them, whose Unicode version can be another. Pieces are
-remembered in a table of bounded size for each Python worker (not those longer than ``LONG`` characters); new ones are
+remembered in two tables of bounded size for each Python worker (not those longer than ``LONG`` characters); new ones are
 encoded in byte order, each going on from the prefix it shares with the one before. Time is linear in a piece's length.
 
 Defined cases: null and empty texts have no tokens (an empty binary). Whole texts are encoded. Repeated rows repeat,
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.arrow import add_columns
 
-LONG, REMEMBERED, PAIRS = 64, 150_000, 250_000
+LONG, REMEMBERED, PAIRS = 64, 100_000, 250_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -64,29 +64,31 @@ class Vocabulary:
                 self.halves[rank] = halves
                 self.merged[halves] = rank
                 self.whole.add(rank)
-        self._known: dict[int, bool] = {}
-        #: Tokens from their last byte back: byte to node; a node's rank stands at -1.
-        self.tails: dict = {}
-        for token, rank in ranks.items():
+        #: For each token what is known of the tokens before it: whether it can follow.
+        self._known: list[dict[int, bool]] = [{} for _ in self.tokens]
+        self._pairs = 0
+        #: Tokens from their last byte back: byte to (the node behind it, the rank of the token that is complete, or -1).
+        self.tails: dict[int, tuple[dict, int]] = {}
+        for token, rank in sorted(ranks.items(), key=lambda x: len(x[0])):
             node = self.tails
-            for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[-1] = rank
+            for byte in token[:0:-1]:
+                node = node.setdefault(byte, ({}, -1))[0]
+            node[token[0]] = (node.get(token[0], ({}, -1))[0], rank)
 
     def extend(self, data: bytes, last: list[int]) -> None:
         """Append the last token of each prefix of ``data`` that ``last`` doesn't hold yet; the empty one's is -1."""
-        known, tails, whole, follows = self._known.get, self.tails, self.whole, self.follows
+        known, tails, whole, follows = self._known, self.tails, self.whole, self.follows
         for end in range(len(last), len(data) + 1):
             at, node, fits = end, tails, False
             while at and not fits:
                 at -= 1
-                node = node.get(data[at])
-                if node is None:
+                step = node.get(data[at])
+                if step is None:
                     raise ValueError("a byte has no token")
-                t = node.get(-1)
-                if t is not None:
+                node, t = step
+                if t >= 0:
                     if at:
-                        fits = known(last[at] << 32 | t)
+                        fits = known[t].get(last[at])
                         if fits is None:
                             fits = follows(last[at], t)
                     else:
@@ -135,14 +137,19 @@ class Vocabulary:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether a then b is how their joined bytes are encoded."""
-        key = a << 32 | b
-        known = self._known.get(key)
+        known = self._known[b].get(a)
         if known is None:
-            if len(self._known) >= PAIRS:
-                self._known.clear()
-            known = self._known[key] = self._follows(a, b)
+            if self._pairs >= PAIRS:
+                self.forget()
+            known = self._known[b][a] = self._follows(a, b)
+            self._pairs += 1
         return known
 
+    def forget(self) -> None:
+        for row in self._known:
+            row.clear()
+        self._pairs = 0
+
     def _follows(self, a: int, b: int) -> bool:
         # Undo merges, the later one first; a merge across the border that comes before the one just undone forbids the pair.
         if b not in self.whole:
@@ -204,7 +211,7 @@ def stand_ins() -> dict[int, str]:
 
 
 class Codec:
-    """Encodes and decodes texts; ``pieces`` holds the packed ids of recent pieces."""
+    """Encodes and decodes texts; ``pieces`` and ``former`` hold the packed ids of recent pieces."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.v = Vocabulary(read_ranks(rank_file))
@@ -212,6 +219,7 @@ class Codec:
         self.stand_ins = stand_ins()
         self.odd = frozenset(map(chr, self.stand_ins))
         self.pieces: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         if text.isascii() or self.odd.isdisjoint(text):
@@ -220,10 +228,14 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.split(t) if t else () for t in texts]
+        every = set().union(*split)
         if len(self.pieces) >= REMEMBERED:
-            self.pieces.clear()
+            # what is in use goes on to the next table, what isn't met again goes with the one before
+            self.former, self.pieces = self.pieces, {}
         known, extra = self.pieces, []
-        missing = sorted((p.encode(), p) for p in set().union(*split).difference(known))
+        if self.former:
+            known.update((p, self.former[p]) for p in every.difference(known).intersection(self.former))
+        missing = sorted((p.encode(), p) for p in every.difference(known))
         for (_, piece), ids in zip(missing, self.v.encode_sorted([d for d, _ in missing]), strict=True):
             known[piece] = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) > LONG:
@@ -234,8 +246,8 @@ class Codec:
         return out
 
     def forget(self) -> None:
-        self.pieces.clear()
-        self.v._known.clear()
+        self.pieces, self.former = {}, {}
+        self.v.forget()
 
     def decode(self, ids: list[bytes | None]) -> list[bytes]:
         token = self.v.tokens.__getitem__
