@@ -10,17 +10,16 @@ with one seek.
 Plan: one pass tokenizes and writes the records, with their task and their place in it, to the shared folder; tasks'
 record counts (one row a task) give each task its first number, so numbering takes no shuffle and no task sees all rows. The
 slot follows by arithmetic. Records are then dealt by ranges of shards, ``waves`` times a part of all shards, so shuffle
-files take a fraction of the output; a task writes whole shards in slot order with Spark's committed text writer, and a
+files, deleted wave by wave, take a fraction of the output; a task writes whole shards in slot order with Spark's committed text writer, and a
 lost executor's tasks are written again whole.
 
-Defined cases: null and empty texts have one sequence, of end tokens (n_tokens 1). Repeated rows have sequences of their
+Defined cases: null and empty texts have one sequence, of end tokens (n_tokens 1). An id that ``width`` bytes can't hold is an error. Repeated rows have sequences of their
 own. Extra columns are ignored. No rows: no shards, an empty index. The order depends on the key, the rows and
 the input's partitions, and is fixed once written.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import sys
 from array import array
@@ -33,9 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeworks.sources.shared import stage
+from lodeworks.llm.arrow import mapped
+from lodeworks.sources.shared import discard, shuffles_dropped, stage
 
-LENGTH, PER_SHARD, WAVES = 256, 16_384, 4
+LENGTH, PER_SHARD, WAVES, BATCH = 256, 16_384, 4, 8192
 
 
 class Permutation:
@@ -103,7 +103,7 @@ def sequences(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list[int]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(size, pa.int32()), pa.array([task] * n, pa.int32()), pa.array(range(done, done + n), pa.int64()), pa.array(record, pa.binary())], names=names)
                 done += n
 
-    return rows.mapInArrow(cut, f"doc_id {kind}, piece int, n_tokens int, task int, place long, record binary")
+    return mapped(rows, cut, f"doc_id {kind}, piece int, n_tokens int, task int, place long, record binary")
 
 
 def materialise(docs: DataFrame, path: str, tokenizer: Callable[[], Callable[[str], list[int]]], end: int, key: bytes = b"order 1", doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2, waves: int = WAVES) -> DataFrame:
@@ -127,18 +127,23 @@ def materialise(docs: DataFrame, path: str, tokenizer: Callable[[], Callable[[st
     placed = held.join(F.broadcast(before.select("task", "first")), "task").withColumn("slot", slot_of(F.col("first") + F.col("place")))
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)"))
     shards = -(-size // per_shard)
+    # numbers and records of a fixed size: batches can be larger than those of texts
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    texts = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH))
     for wave in range(waves):
         low, high = shards * wave // waves, shards * (wave + 1) // waves
         if low == high:
             continue
         part = placed.where((F.col("shard") >= low) & (F.col("shard") < high)).select(F.col("record").cast("string").alias("value"), "shard", "slot")
-        part = part.repartitionByRange(high - low, "shard").sortWithinPartitions("shard", "slot")
-        part.drop("slot").write.mode("append").partitionBy("shard").text(path)
-        # lets Spark's cleaner drop this wave's shuffle files
-        del part
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return placed.select("doc_id", "piece", "n_tokens", "slot", "shard", (F.col("slot") % per_shard * stride(length, width)).alias("at"))
+        # a shard's task is known, so no pass over the rows has to find ranges
+        part = part.repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("shard", "slot")
+        with shuffles_dropped(spark):
+            part.drop("slot").write.mode("append").partitionBy("shard").text(path)
+    index = stage(placed.select("doc_id", "piece", "n_tokens", "slot", "shard", (F.col("slot") % per_shard * stride(length, width)).alias("at")), "index")
+    spark.conf.set(setting, texts)
+    discard(held, before)
+    return index
 
 
 def read_slots(spark: SparkSession, path: str, slot: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> Iterator[np.ndarray]:
