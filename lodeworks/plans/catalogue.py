@@ -719,3 +719,47 @@ def fix_shape(s, d):
     li = table(s, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % len(CODE)).alias("a"), (F.col("l_partkey") % len(CODE)).alias("r"))
     g = li.groupBy("l_orderkey", "a", "r").agg(F.count("*").alias("times"))
     return g.withColumn("fix", fix_shaped(F.array(of("a")), F.array(of("r"))))
+
+
+def _renames() -> list[tuple[int, int]]:
+    """Pairs of CODE with one skeleton: what is left without letters, digits and underscores."""
+    bare = ["".join(c for c in x if not c.isalnum() and c != "_") for x in CODE]
+    return [(i, j) for i, a in enumerate(bare) for j, b in enumerate(bare) if a == b]
+
+
+N = len(CODE)
+
+
+@query(
+    f"""WITH m AS (SELECT p_partkey // 4 AS set_id, 'p' || p_partkey AS path, p_size AS a, p_size + 10 AS b FROM part),
+co AS (SELECT DISTINCT 'c' || (l_suppkey % 100) AS sha, l_suppkey % 100 AS ord FROM lineitem WHERE l_suppkey % 100 % 13 <> 0),
+h AS (SELECT 'c' || (l_suppkey % 100) AS sha, 'p' || l_partkey AS path, l_linenumber * 8 AS ns, l_linenumber % 2 AS oc, l_orderkey % {N} AS ad, l_partkey % {N} AS rm, l_tax >= 0.08 AS made FROM lineitem WHERE l_quantity <= 3),
+cf AS (SELECT DISTINCT sha, path FROM h), last AS (SELECT path, min_by(sha, ord) AS sha, min(ord) AS ord FROM cf JOIN co USING (sha) WHERE path IN (SELECT path FROM m) GROUP BY path),
+ml AS (SELECT m.*, sha, ord FROM m JOIN last USING (path)), pr AS (SELECT ml.set_id, ml.path, ml.sha, ml.ord, s.path AS sp, s.a AS sa, s.b AS sb FROM ml JOIN m s ON s.set_id = ml.set_id AND s.path <> ml.path),
+sided AS (SELECT set_id, path, string_agg(DISTINCT sp, ',' ORDER BY sp) AS siblings FROM pr GROUP BY set_id, path, sha HAVING bool_and((sha, sp) NOT IN (SELECT (sha, path) FROM cf))),
+later AS (SELECT pr.set_id, pr.path, string_agg(DISTINCT sp, ',' ORDER BY sp) AS catch_ups FROM pr JOIN last l ON l.path = sp AND l.ord < pr.ord GROUP BY pr.set_id, pr.path),
+earlier AS (SELECT DISTINCT pr.set_id, pr.path FROM pr JOIN last l ON l.path = sp AND l.ord > pr.ord JOIN h ON h.sha = l.sha AND h.path = sp AND oc > 0 AND ns >= sa - 1 AND ns <= sb + 1),
+ch AS (SELECT ml.set_id, ml.path, ml.sha, ns, siblings, coalesce(catch_ups, '') AS catch_ups, ad IN {FIXES} AND ad <> rm AND (ad, rm) NOT IN ({", ".join(f"({i}, {j})" for i, j in _renames())}) AS fix
+  FROM ml JOIN sided USING (set_id, path) LEFT JOIN later USING (set_id, path) JOIN h ON h.sha = ml.sha AND h.path = ml.path WHERE NOT made AND ns >= a - 1 AND ns <= b + 1 AND (set_id, ml.path) NOT IN (SELECT (set_id, path) FROM earlier)),
+o AS (SELECT *, CASE WHEN fix THEN 'high' ELSE 'advisory' END AS tier FROM ch)
+SELECT set_id, path, sha, CAST(ns AS INTEGER) AS anchor, tier, siblings, catch_ups FROM (SELECT *, row_number() OVER (PARTITION BY sha, path ORDER BY tier DESC, set_id, ns) AS r FROM o) WHERE r = 1"""
+)
+def clone_drift(s, d):
+    """One-sided changes of clone sets, whole: last commits, siblings, earlier fixes, catch-ups, the shape of the change."""
+    from lodeworks.operators import drift
+    from lodeworks.plans.rule_queries import facts
+
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    k, n = F.col("p_partkey"), F.col("l_suppkey") % 100
+    members = table(s, d, "part").select(F.expr("p_partkey div 4").alias("set_id"), name("p", k).alias("path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 10).alias("end_line"))
+    li = table(s, d, "lineitem")
+    commits = li.select(name("c", n).alias("sha"), n.alias("log_pos"), (n % 13 == 0).alias("is_merge")).distinct()
+    of = lambda c: F.array(F.get(F.array(*map(F.lit, CODE)), (F.col(c) % N).cast("int")))
+    start = (F.col("l_linenumber") * 8).cast("int")
+    hunks = li.where("l_quantity <= 3").select(
+        name("c", n).alias("sha"), name("p", F.col("l_partkey")).alias("path"), start.alias("new_start"), F.lit(1).alias("new_count"), (F.col("l_linenumber") % 2).alias("old_count"), of("l_orderkey").alias("added"), of("l_partkey").alias("removed"),
+        F.array(start).alias("changed_new_lines"), (F.col("l_tax") >= 0.08).alias("is_file_creation"),
+    )
+    f = facts(s, commits=commits, hunks=hunks, commit_files=hunks.select("sha", "path").distinct())
+    found = drift.detect(members, f["commits"], f["commit_files"], f["hunks"], f["identifiers"], f["exec_lines"])
+    return found.withColumns({"siblings": F.array_join("siblings", ","), "catch_ups": F.array_join("catch_ups", ",")})
