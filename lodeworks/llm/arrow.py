@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,12 +18,25 @@ from lodeworks.llm.rows import only
 ROWS = 256
 
 
+def _giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``; at a task's end the worker, which lives on, gives freed memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` with batches of ``ROWS`` rows at most (a setting of the session from then on)."""
     setting, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(setting)) <= ROWS:
         conf.set(setting, str(ROWS))
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(_giving_back(work), schema)
 
 
 def add_columns(df: DataFrame, source: str, made: dict[str, pa.DataType], factory: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
