@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.arrow import add_columns
 
-LONG, REMEMBERED, PAIRS = 64, 100_000, 250_000
+LONG, REMEMBERED, PAIRS, BLOCK = 64, 100_000, 250_000, 0x2000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -201,12 +201,13 @@ class PrefixEncoder:
 
 def stand_ins() -> dict[int, str]:
     """Code points of which the tiktoken library, of another Unicode version, thinks otherwise: to a character of the class it takes them for."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     single, out = {bytes([i]): i for i in range(256)}, {}
     for kind, sample in ((r"\p{L}", "\u00aa"), (r"\p{N}", "\u00b2"), (r"\s", "\u00a0")):
         library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={})
-        theirs, ours = set(bytes(library.encode_ordinary(every)).decode()), set(regex.findall(kind, every))
-        out |= {ord(c): out.get(ord(c), "\uffff") for c in ours - theirs} | {ord(c): sample for c in theirs - ours}
+        for start in range(0, 0x110000, BLOCK):  # a block at a time, as each worker makes this table
+            some = "".join(chr(c) for c in range(start, start + BLOCK) if not 0xD800 <= c < 0xE000)
+            theirs, ours = set(bytes(library.encode_ordinary(some)).decode()), set(regex.findall(kind, some))
+            out |= {ord(c): out.get(ord(c), "\uffff") for c in ours - theirs} | {ord(c): sample for c in theirs - ours}
     return out
 
 
