@@ -18,15 +18,20 @@ from lodeworks.llm.rows import only
 ROWS = 256
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``work``; at a task's end the worker, which lives on, gives freed memory back to the system."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # a C library without it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return run
 

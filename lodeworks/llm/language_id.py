@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.arrow import add_columns, mapped
+from lodeworks.llm.arrow import add_columns, give_back, mapped
 from lodeworks.llm.byte_bpe import read_ranks
 from lodeworks.llm.rows import named, packed, unpacked
 
@@ -211,7 +211,9 @@ def train(docs: DataFrame, rank_file: bytes, doc_id: str = "doc_id", text: str =
     counts: dict[str, dict[str, int]] = {}
     for row in counted.orderBy("l", "w").toLocalIterator():  # the distinct words of per_language rows a language
         counts.setdefault(row.l, {})[row.w] = row.n
-    return fit(counts, rank_file) if counts else None
+    model = fit(counts, rank_file) if counts else None
+    give_back()
+    return model
 
 
 class Scorer:
