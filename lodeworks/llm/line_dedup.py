@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join (operator 3), DataFrame functions only.
 
-A line goes when the same line, or (for lines of ``least`` characters or more) one within one edit, occurs earlier in the
-corpus; order is by doc_id, then line number. Lines are compared without white space at their ends; blank lines stay.
+A line goes when the same line, or one within one edit, occurs earlier in the corpus, however short the two are; order is by
+doc_id, then line number. Lines are compared without white space at their ends; blank lines stay.
 
 Equal lines meet by a 128-bit hash in an aggregation. Distinct lines then meet in the edit join:
 
@@ -19,8 +19,6 @@ Equal lines meet by a 128-bit hash in an aggregation. Distinct lines then meet i
 Small sides are broadcast only after a count (``BROADCAST_ROWS``); beyond it the same joins shuffle, and
 adaptive execution splits a line that holds a third of all rows.
 
-Lines of under ``least`` characters have no edit join on purpose: in so short a line one edit makes another line (a number, a name).
-
 Defined cases: null and empty texts have no lines and stay as they are. Documents alike in id and text are one and share
 decisions. A null doc_id comes after all others. All rows and columns stay, whatever their names, but for columns called as the
 two of ``to``, which are replaced. No rows in, no rows out.
@@ -36,7 +34,7 @@ from pyspark.sql import functions as F
 from lodeworks.llm.rows import keys, named, packed, unpacked
 from lodeworks.sources.shared import discard, stage
 
-LEAST, CROWD, BROADCAST_ROWS = 20, 16, 1_000_000
+CROWD, BROADCAST_ROWS = 16, 1_000_000
 WORD = 32  # bits of the band's word
 MASK = (1 << WORD) - 1
 
@@ -107,7 +105,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("k1", "k2", F.struct(F.col("i").isNull().alias("z"), "i", F.col("k2").alias("k"), "n").alias("o"), "n", "l", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(1), "l").alias("h2"))
 
 
-def _level_keys(least: int) -> Column:
+def _level_keys() -> Column:
     """Index and probe keys of a line: array of struct(key, role, side); role 1 probes the index of one character less."""
     line, size = F.col("l"), F.length("l")
     out = []
@@ -116,7 +114,7 @@ def _level_keys(least: int) -> Column:
         half = F.floor(base / 2).cast("int")
         for side, low, high in ((0, half, base), (1, F.lit(0), half)):
             out.append(F.struct(_key(base, low, high, line).alias("key"), F.lit(role).alias("role"), F.lit(side).alias("side")))
-    return F.when(size >= least, F.array(*out))
+    return F.array(*out)
 
 
 def _neighbours(lines: DataFrame, rows: DataFrame, crowd: int) -> DataFrame:
@@ -180,11 +178,11 @@ def _within_one(pair: DataFrame, halvings: int = 5) -> DataFrame:
     return pair.where(cost <= 1)
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, crowd: int = CROWD) -> DataFrame:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """(k1, k2, n, doc, line): the lines that go, by document row and number, and where the earlier line is."""
     lines = _lines(docs, doc_id, text)
     distinct = stage(
-        lines.select("h1", "h2", "o", _level_keys(least).alias("keys"))
+        lines.select("h1", "h2", "o", _level_keys().alias("keys"))
         .groupBy("h1", "h2")
         .agg(F.min("o").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")),
         "lines",
@@ -206,9 +204,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return every.where(F.col("o") != F.col("kept")).select("k1", "k2", "n", F.col("kept.i").alias("doc"), F.col("kept.n").alias("line"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, crowd: int = CROWD, to: tuple[str, str] = ("lines_removed", "lines_kept")) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD, to: tuple[str, str] = ("lines_removed", "lines_kept")) -> DataFrame:
     """All documents and columns, ``text`` without the lines that go; columns ``to`` (replaced where present): lines that went, lines that stay and aren't blank."""
-    gone = repeated_lines(docs, doc_id, text, least, crowd).groupBy("k1", "k2").agg(F.collect_set("n").alias("gone"))
+    gone = repeated_lines(docs, doc_id, text, crowd).groupBy("k1", "k2").agg(F.collect_set("n").alias("gone"))
     rows = packed(docs, i=doc_id, t=text).select("t", "row", *keys(F.col("i"), F.col("t"))).join(gone, ["k1", "k2"], "left").withColumn("lines", F.split("t", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))

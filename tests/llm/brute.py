@@ -80,7 +80,7 @@ def within_one(a, b):
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def cleaned_lines(docs, least=20):
+def cleaned_lines(docs):
     """docs: (id, text) in order of id. {id: (text, removed)}: a line goes if it or one within one edit came before."""
     seen, variants, out = set(), defaultdict(set), {}
     for i, text in docs:
@@ -91,7 +91,7 @@ def cleaned_lines(docs, least=20):
                 stay.append(line)
                 continue
             # lines within one edit have a form in common when one character or none is left out
-            forms = {bare, *(bare[:k] + bare[k + 1 :] for k in range(len(bare)))} if len(bare) >= least else set()
+            forms = {bare, *(bare[:k] + bare[k + 1 :] for k in range(len(bare)))}
             known = bare in seen or any(within_one(bare, o) for f in forms for o in variants[f])
             if bare not in seen:
                 seen.add(bare)

@@ -58,6 +58,16 @@ def test_cases(spark):
     assert line_dedup.clean(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_short_lines_are_joined(spark, crowd):
+    docs = frame(spark, [(1, "In.\nAs\nx"), (2, "It.\nAs.\n12"), (3, "y\nOf onthshes.\n1"), (4, "Of onthshe."), (5, "In and."), (6, "nineteen character"), (7, "nineteen characters!"), (8, "nineteen characters")])
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.clean(docs, crowd=crowd).collect()}
+    assert got == {1: ("In.\nAs\nx", 0), 2: ("12", 2), 3: ("Of onthshes.", 2), 4: ("", 1), 5: ("In and.", 0), 6: ("nineteen character", 0), 7: ("nineteen characters!", 0), 8: ("", 1)}
+    assert got == brute.cleaned_lines(sorted((r.doc_id, r.text) for r in docs.collect()))
+    many = [(i, "\n".join(f"{a}{b}" for a in "abcdefgh" for b in range(i, 10))) for i in range(8)]
+    assert result(line_dedup.clean(frame(spark, many), crowd=crowd)) == brute.cleaned_lines(many)
+
+
 def test_null_ids_come_last(spark):
     rows = line_dedup.clean(frame(spark, [(None, "this is a line of some length"), (7, "this is a line of some lengths")])).collect()
     assert sorted((str(r.doc_id), r.lines_removed) for r in rows) == [("7", 0), ("None", 1)]
