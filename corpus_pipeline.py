@@ -42,6 +42,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (5-word shingles, similarity 0.8 or more) stays: the one with the smallest id.
 
+    Candidates are found by operator 7's fingerprints and grid, and by bands beyond its four bits; all are verified.
     Null and blank texts are copies of each other; a null id comes after all others; rows alike in id and text are one document.
     """
     return near_copies.keep_one(docs)
@@ -61,7 +62,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids. Whole texts are encoded; every row gives one, repeated rows too. Further columns are left out.
     """
     ranks = byte_bpe.load_ranks(BPE_RANKS)
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    coded = byte_bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", "ids", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), same.alias("round_trip"))
 

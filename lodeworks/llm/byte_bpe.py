@@ -267,35 +267,44 @@ def _codec(rank_file: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _mapped(docs: DataFrame, source: str, to: str, rank_file: bytes, pattern: str, method: str) -> DataFrame:
+def _mapped(docs: DataFrame, source: str, to: list[str], rank_file: bytes, pattern: str, make: Callable[[Codec, list], list[list]]) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(rank_file)
 
     def factory() -> Callable[[list], list[list]]:
         codec = _codec(shipped.value, pattern)
-        make = getattr(codec, method)
 
         def run(values: list) -> list[list]:
-            return [make(values)]
+            return make(codec, values)
 
         run.finish = codec.forget
         return run
 
-    return add_columns(docs, source, {to: pa.binary()}, factory)
+    return add_columns(docs, source, dict.fromkeys(to, pa.binary()), factory)
 
 
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
     """Add ``to``: the ids of the whole text, little-endian unsigned 32-bit integers."""
-    return _mapped(docs, text, to, rank_file, pattern, "encode")
+    return _mapped(docs, text, [to], rank_file, pattern, lambda codec, texts: [codec.encode(texts)])
 
 
 def decode(tokens: DataFrame, rank_file: bytes, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Add ``to``: the bytes that the ids stand for."""
-    return _mapped(tokens, ids, to, rank_file, pattern, "decode")
+    return _mapped(tokens, ids, [to], rank_file, pattern, lambda codec, packed: [codec.decode(packed)])
+
+
+def encode_and_decode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text", to: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+    """Both columns, the second made of the first; a task has one Python worker with one codec for both, not two."""
+
+    def make(codec: Codec, texts: list) -> list[list]:
+        ids = codec.encode(texts)
+        return [ids, codec.decode(ids)]
+
+    return _mapped(docs, text, list(to), rank_file, pattern, make)
 
 
 def digests(docs: DataFrame, rank_file: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of an encoding and its decoding."""
-    both = decode(encode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), rank_file, pattern).drop("text"), rank_file, pattern)
+    both = encode_and_decode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), rank_file, pattern)
     return both.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),

@@ -8,6 +8,7 @@ import pytest
 import tiktoken
 from lodeworks.llm import byte_bpe, registry
 from lodeworks.sources.tables import table
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, ids int, decoded int, `a.b` int"
 RANKS = byte_bpe.load_ranks(registry.BPE_RANKS)
@@ -66,6 +67,15 @@ def test_cases(spark):
     assert byte_bpe.digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_one_worker_encodes_and_decodes(spark):
+    docs = spark.createDataFrame([("a b",), ("ünï 中 12",), (None,), ("",)], "text string")
+    both = byte_bpe.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN)
+    apart = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert both.columns == apart.columns and sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    for df in (both, byte_bpe.digests(docs.withColumn("doc_id", F.lit(1)), RANKS, public_tokenizers.PATTERN)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_a_token_that_no_merges_make():
     ranks = {bytes([i]): i for i in range(256)} | {b"abc": 256}
     library = tiktoken.Encoding("odd", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
