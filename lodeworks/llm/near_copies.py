@@ -3,10 +3,12 @@
 A document is the set of its shingles of five consecutive words (A-Z lowered, cut at ASCII white space), hashed as in
 :mod:`lodeworks.llm.simhash`. Two documents are near copies when the Jaccard similarity of their sets is 0.8 or more.
 
-* Why not the fingerprint grid: at similarity 0.8 fingerprints differ in about ten of 64 bits, in sixteen now and then. For
+* Candidates by fingerprint: operator 7 as it is, on these shingles. The grid of segment popcounts links fingerprints within four bits,
+  and each component of linked fingerprints is a cell.
+* Why not the grid alone: at similarity 0.8 fingerprints differ in about ten of 64 bits, in sixteen now and then. For
   that radius a grid of segment popcounts has to ask for so little in common that all points are crowded.
-* Candidates: bands of MinHash values, a cell for each band (``LEVELS``: bands, values in a band). By the first level a pair
-  of similarity s shares a cell with probability 1 - (1 - s^5)^24: 0.99993 at 0.8, more above.
+* Candidates beyond four bits: bands of MinHash values, a cell for each band (``LEVELS``: bands, values in a band). By the first level
+  a pair of similarity s shares a cell with probability 1 - (1 - s^5)^24: 0.99993 at 0.8, more above.
 * Verification: exact, on the sets themselves, made anew from the text for the documents that share a cell only.
 * Cells of up to ``crowd`` sets give their pairs. Larger ones never do: every set in them first meets the ``LEADERS`` sets of
   smallest hash in its largest cell, which joins a group of copies at a cost linear in its size. A cell whose sets
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.arrow import mapped
 from lodeworks.llm.rows import keys, named, packed, unpacked
-from lodeworks.llm.simhash import shingle_hashes
+from lodeworks.llm.simhash import fingerprint_of, near_links, shingle_hashes
 from lodeworks.operators.graph import connected_components
 from lodeworks.sources.shared import discard, noted, stage
 
@@ -54,7 +56,11 @@ def _seeds(level: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The distinct shingle hashes, sorted."""
-    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+    return set_of(shingle_hashes(text, width))
+
+
+def set_of(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes, np.uint64))
 
 
 def band_cells(members: np.ndarray, level: int = 0) -> list[int]:
@@ -69,19 +75,24 @@ def band_cells(members: np.ndarray, level: int = 0) -> list[int]:
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, doc_id, node, cells): node names the set."""
+    """(k1, k2, doc_id, node, cells, fp): node names the set, fp is the fingerprint as a signed long."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 b = whole.slice(at, 1024)
-                sets = [shingle_set(t.as_py()) for t in b.column(3)]
+                sets, prints = [], []
+                for t in b.column(3):
+                    hashes = shingle_hashes(t.as_py(), WIDTH)
+                    sets.append(set_of(hashes))
+                    prints.append(fingerprint_of(hashes))
+                fp = pa.array(np.array(prints, np.uint64).view(np.int64))
                 node = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), node, pa.array([band_cells(s) for s in sets], pa.list_(pa.int64()))], names=["k1", "k2", "doc_id", "node", "cells"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), node, pa.array([band_cells(s) for s in sets], pa.list_(pa.int64())), fp], names=["k1", "k2", "doc_id", "node", "cells", "fp"])
 
     rows = docs.select(*keys(named(doc_id), named(text)), named(doc_id).alias("doc_id"), named(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return mapped(rows, read, f"k1 long, k2 long, doc_id {kind}, node long, cells array<long>")
+    return mapped(rows, read, f"k1 long, k2 long, doc_id {kind}, node long, cells array<long>, fp long")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -211,10 +222,19 @@ def cell_links(cells: DataFrame, sets: DataFrame | None, known: DataFrame | None
     return found
 
 
+def grid_cells(rows: DataFrame) -> DataFrame:
+    """(node, cell): sets whose fingerprints (node, fp) the grid links, at four bits or fewer and over others, share a cell."""
+    parts = connected_components(near_links(rows.select("fp").distinct()), "a", "b").select(F.col("node").alias("of"), "component")
+    named_by = F.xxhash64(F.lit("fingerprints"), F.coalesce("component", "fp"))
+    return rows.distinct().join(parts, F.col("fp") == F.col("of"), "left").select("node", named_by.alias("cell"))
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """A row per document: k1, k2, doc_id, part."""
     rows = stage(signatures(docs, doc_id, text), "signatures", gather=True)
     cells = rows.groupBy("node").agg(F.first("cells").alias("cells")).select("node", F.explode("cells").alias("cell"))
+    # the empty set is alike to no other
+    cells = cells.union(stage(grid_cells(rows.where(F.size("cells") > 0).select("node", "fp")), "grid", gather=True))
 
     def sets_for(nodes: DataFrame) -> DataFrame:
         one = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("r")).select("node", "r.k1", "r.k2")

@@ -60,7 +60,10 @@ def shingle_hashes(text: str | None, width: int) -> list[int]:
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
     if not hashes:
         return 0
     ones = np.zeros(64, np.int64)

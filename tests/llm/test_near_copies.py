@@ -55,6 +55,19 @@ def test_kept_documents_by_either_join(spark, sf_dir, monkeypatch, rows):
     assert {r.doc_id for r in got.collect()} == {i for i in part if part[i] == i} and got.count() == len(set(part.values()))
 
 
+def test_the_stage_takes_fingerprints_and_the_grid(spark, sf_dir, monkeypatch):
+    asked, links = [], near_copies.near_links
+    monkeypatch.setattr(near_copies, "near_links", lambda points: asked.append({r.fp % 2**64 for r in points.collect()}) or links(points))
+    docs = [*corpus(20), (900, None), (901, "one two")]
+    fp = {i: brute.simhash(t, near_copies.WIDTH) for i, t in docs}
+    corpus_pipeline.drop_near_copies(spark, frame(spark, docs), sf_dir).count()
+    assert asked == [{fp[i] for i, t in docs if t}]
+    part = brute.components(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4])
+    rows = spark.createDataFrame([(i, v - (v >> 63 << 64)) for i, v in fp.items()], "node long, fp long")
+    cell = {r.node: r.cell for r in near_copies.grid_cells(rows).collect()}
+    assert len(set(part.values())) < len(docs) and all((part[a] == part[b]) == (cell[a] == cell[b]) for a in fp for b in fp)
+
+
 def test_blank_short_and_repeated(spark):
     docs = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE two"), (5, "ONE two"), (None, "one two"), (6, "one three")]
     got = near_copies.keep_one(frame(spark, docs))
