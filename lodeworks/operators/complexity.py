@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.sources.shared import stage
+from lodeworks.sources.shared import stage, together
 
 #: Decision points; a default label, a discarded arm and ``??`` are none.
 DECISIONS = ("if", "while", "do", "for", "foreach", "case", "catch", "filter", "and", "or", "ternary", "arm")
@@ -27,20 +27,24 @@ def cognitive_of(nodes: DataFrame) -> DataFrame:
 def nested(nodes: DataFrame) -> DataFrame:
     """Nodes with ``nesting``: how many nodes around them deepen. nodes: body_id, node_id, parent_id, kind.
 
-    Level by level from the roots, as many joins as the deepest body has levels. ``else_if`` keeps its level.
+    Each round a node adds what the node it points at has summed up and points where that one pointed, so way and sum double: as many joins
+    as the depth has binary digits. Nodes that point nowhere are done. ``else_if`` keeps its level. What hangs on no root, by a parent that
+    isn't there or a circle, is left out. Nothing is broadcast: staged nodes are small as files and large as rows.
     """
-    front = stage(nodes.where("parent_id is null").withColumn("nesting", F.lit(0)), "level")
-    levels, children = [front], nodes.where("parent_id is not null")
-    while True:
-        up = front.select("body_id", F.col("node_id").alias("parent_id"), (F.col("nesting") + F.col("kind").isin(*DEEPENS).cast("int")).alias("nesting"))
-        front = stage(children.join(up, ["body_id", "parent_id"]).select(*front.columns), "level")
-        if front.isEmpty():
-            break
-        levels.append(front)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+    own = F.col("kind").isin(*DEEPENS).cast("int")
+    last = stage(nodes.withColumns({"_at": F.col("parent_id"), "_sum": own}), "nodes")
+    rounds, reach, largest = [last], 1, None
+    while not (open_ := last.where("_at is not null")).isEmpty():
+        if reach >= 64:  # deeper than code is: a circle never ends, and no way is longer than its body has nodes
+            largest = largest or rounds[0].groupBy("body_id").count().agg(F.max("count")).first()[0]
+            if reach > largest:
+                break
+        there = together(rounds).where("_at is null").unionByName(open_).select("body_id", F.col("node_id").alias("_at"), F.col("_at").alias("_next"), F.col("_sum").alias("_more"))
+        met = open_.join(there.hint("merge"), ["body_id", "_at"])
+        last = stage(met.select(*nodes.columns, F.col("_next").alias("_at"), (F.col("_sum") + F.col("_more")).alias("_sum")), "nodes", gather=True)
+        rounds.append(last)
+        reach *= 2
+    return together(rounds).where("_at is null").select(*nodes.columns, (F.col("_sum") - own).alias("nesting"))
 
 
 def operator_runs(nodes: DataFrame) -> DataFrame:
@@ -52,7 +56,8 @@ def operator_runs(nodes: DataFrame) -> DataFrame:
 
 def cognitive(nodes: DataFrame) -> DataFrame:
     """(body_id, complexity). nodes: body_id, node_id, parent_id, ord, kind, operator (and, or of boolean operators; their tree is the parent_id)."""
-    placed = nested(nodes).select("body_id", "kind", "nesting")
+    nodes = stage(nodes.select("body_id", "node_id", "parent_id", "ord", "kind", "operator"), "syntax")
+    placed = nested(nodes.select("body_id", "node_id", "parent_id", "kind")).select("body_id", "kind", "nesting")
     boolean = nodes.where("operator in ('and', 'or')").withColumn("tree_id", F.col("parent_id"))
     return cognitive_of(placed.where(~F.col("kind").isin("and", "or")).union(operator_runs(boolean)))
 

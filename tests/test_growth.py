@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.operators import closure
+from lodeworks.operators import closure, complexity
 from lodeworks.plans import catalogue
 
 
@@ -47,3 +47,19 @@ def test_closure_of_a_graph_with_cycles_and_nulls(spark):
         assert len(got) == len(expected) and {(r, n): d for r, n, d in got} == expected
     some = closure.closure(df, roots=spark.createDataFrame([(6,), (2,), (2,)], "root long")).select("root").distinct().collect()
     assert sorted(r.root for r in some) == [2, 6]
+
+
+@pytest.mark.parametrize("name", ["cognitive", "rule_cognitive"])
+def test_nesting_broadcasts_nothing_and_reads_its_input_a_few_times(spark, sf_dir, name):
+    made = plans(spark, lambda: catalogue.QUERIES[name](spark, sf_dir).collect())
+    assert not [p for p in made if "BroadcastExchange" in p]
+    assert sum("lineitem.parquet" in p for p in made) == 1
+
+
+def test_nesting_of_deep_bodies_orphans_and_circles(spark):
+    chain = [("deep", i, i - 1 if i else None, "if" if i % 3 else "block") for i in range(150)]
+    odd = [("odd", 1, None, "if"), ("odd", 2, 1, "else"), ("odd", 3, 99, "if"), ("odd", 4, 3, "if"), ("odd", 5, 6, "if"), ("odd", 6, 5, "if"), ("odd", 7, 2, "block"), (None, 1, None, "if"), (None, 2, 1, "if")]
+    df = spark.createDataFrame(chain + odd, "body_id string, node_id long, parent_id long, kind string")
+    got = {(r.body_id, r.node_id): r.nesting for r in complexity.nested(df).collect()}
+    deep = {("deep", i): sum(bool(j % 3) for j in range(i)) for i in range(150)}
+    assert got == deep | {("odd", 1): 0, ("odd", 2): 1, ("odd", 7): 2, (None, 1): 0}
