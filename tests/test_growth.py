@@ -1,12 +1,15 @@
 """What must not grow: rows through the driver, rows of a step that are no result."""
 
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.operators import closure, complexity
+from lodeworks.operators import clones, closure, complexity
 from lodeworks.plans import catalogue
+from lodeworks.rules import shapes
+from lodeworks.sources.facts import Facts
 
 
 def plans(spark, ran):
@@ -63,3 +66,46 @@ def test_nesting_of_deep_bodies_orphans_and_circles(spark):
     got = {(r.body_id, r.node_id): r.nesting for r in complexity.nested(df).collect()}
     deep = {("deep", i): sum(bool(j % 3) for j in range(i)) for i in range(150)}
     assert got == deep | {("odd", 1): 0, ("odd", 2): 1, ("odd", 7): 2, (None, 1): 0}
+
+
+def brute(texts, width, cap):
+    places = defaultdict(list)
+    for p in sorted(texts):
+        for i in range(len(texts[p]) - width + 1):
+            places[tuple(texts[p][i : i + width])].append((p, i))
+    pairs = {(a, b, i, j) for at in places.values() for a, i in at[:cap] for b, j in at[:cap] if a < b}
+    out = []
+    for a, b, i, j in pairs:
+        if (a, b, i - 1, j - 1) not in pairs:
+            n = 0
+            while (a, b, i + n, j + n) in pairs:
+                n += 1
+            out.append((a, b, i, j, n + width - 1))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cap", [3, 512, None])
+def test_islands_equal_all_pairs_of_windows(spark, cap):
+    rnd = random.Random(7)
+    texts = {f"f{i:02}": [rnd.choice("ab") for _ in range(rnd.randrange(0, 40))] for i in range(12)}
+    df = spark.createDataFrame(list(texts.items()), "path string, t array<string>")
+    got = clones.islands(clones.windows(df, "path", F.col("t"), 4), 4, cap)
+    assert sorted(tuple(r) for r in got.select("l_path", "r_path", "l_start", "r_start", "len").collect()) == brute(texts, 4, cap)
+
+
+def test_rows_of_a_run_dont_grow_with_its_length(spark):
+    df = spark.createDataFrame([(f"f{i:02}", [f"t{k}" for k in range(500)]) for i in range(30)], "path string, t array<string>")
+    made = clones.islands(clones.windows(df, "path", F.col("t"), 4), 4)
+    assert made.count() == 435
+    rows = []
+
+    def walk(node):
+        metrics = node.metrics()
+        if metrics.contains("shuffleRecordsWritten"):
+            rows.append(metrics.apply("shuffleRecordsWritten").value())
+        for x in (node.executedPlan(),) if node.nodeName().startswith("Adaptive") else (node.plan(),) if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]:
+            walk(x)
+
+    made.collect()
+    walk(made._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) <= 30 * 500
