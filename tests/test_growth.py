@@ -68,6 +68,17 @@ def test_nesting_of_deep_bodies_orphans_and_circles(spark):
     assert got == deep | {("odd", 1): 0, ("odd", 2): 1, ("odd", 7): 2, (None, 1): 0}
 
 
+def test_sets_that_begin_on_one_line_are_one_finding_each(spark):
+    # two fragments of a line of f/a each occur in one other file
+    lines = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    texts = {"f/a": ["own"] + lines("s", 70), "g/b": lines("s", 70), "g/c": ["own"] + lines("s", 62)}
+    rows = [(p, i, t, 1 + i // 8) for p, ts in texts.items() for i, t in enumerate(ts)]
+    f = Facts(spark, tables={"tokens": spark.createDataFrame(rows, "path string, idx int, tok string, line int")})
+    sets = shapes.clone_sets(f).select("set_id").distinct().count()
+    got = shapes.duplicated(f).collect()
+    assert sets == len(got) == 2 and [(r.file_path, r.line_number, len(r.related)) for r in got] == [("f/a", 1, 1)] * 2
+
+
 def brute(texts, width, cap):
     places = defaultdict(list)
     for p in sorted(texts):
