@@ -9,12 +9,7 @@ from lodeworks.functions.text import version_struct
 from lodeworks.operators.closure import closure, everywhere
 from lodeworks.rules import ADVISORY, HIGH, MODERATE, finding, rule
 from lodeworks.sources.facts import Facts
-
-
-def consumers(facts: Facts) -> DataFrame:
-    """(root, node): projects that get what ``root`` has; a reference with private assets is reached, not gone on from."""
-    edges = facts["project_refs"].select(F.col("ref_path").alias("src"), F.col("path").alias("dst"), (~F.coalesce("private_all", F.lit(False))).alias("go"))
-    return closure(edges, onward="go").select("root", "node")
+from lodeworks.sources.shared import stage
 
 
 def flow(facts: Facts) -> DataFrame:
@@ -35,7 +30,7 @@ def package_subtree(facts: Facts) -> DataFrame:
     node = lambda p, i: F.struct(F.col(p).alias("path"), F.col(i).alias("id"))
     edges = deps.select(node("path", "id").alias("src"), node("path", "dep").alias("dst"))
     reach = closure(edges, roots=direct.select(node("path", "id").alias("root"))).select("root", "node")
-    shared = reach.groupBy("node").agg(F.countDistinct("root").alias("n"), F.min("root").alias("root")).where("n = 1")
+    shared = reach.groupBy("node").agg(F.count("*").alias("n"), F.min("root").alias("root")).where("n = 1")
     return shared.select(F.col("root.path").alias("path"), F.col("root.id").alias("id"), F.col("node.id").alias("node"))
 
 
@@ -49,7 +44,7 @@ def unused_packages(facts: Facts) -> DataFrame:
     below = below.join(known.withColumnRenamed("pid", "node"), ["path", "node"]).join(used, ["path", "assembly"], "left_semi").select("path", "pid")
     out = refs.join(known.select("path", "pid").distinct(), ["path", "pid"], "left_semi").join(live.union(below), ["path", "pid"], "left_anti")
     theirs = used.select(F.col("path").alias("node"), "assembly")
-    passed = known.join(consumers(facts).withColumnRenamed("root", "path"), "path").join(theirs, ["node", "assembly"], "left_semi").select("path", "pid").withColumn("private_all", F.lit(False))
+    passed = known.join(facts.consumers.withColumnRenamed("root", "path"), "path").join(theirs, ["node", "assembly"], "left_semi").select("path", "pid").withColumn("private_all", F.lit(False))
     return out.withColumn("private_all", F.coalesce("private_all", F.lit(False))).join(passed, ["path", "pid", "private_all"], "left_anti")
 
 
@@ -58,7 +53,7 @@ def unused_package(facts: Facts) -> DataFrame:
     found = unused_packages(facts)
     # a project that is not loaded may use what it gets
     unloaded = facts["projects"].where("not is_loaded").select(F.col("path").alias("node"))
-    may = consumers(facts).join(unloaded, "node", "left_semi").select(F.col("root").alias("path"), F.lit(True).alias("may")).distinct()
+    may = facts.consumers.join(unloaded, "node", "left_semi").select(F.col("root").alias("path"), F.lit(True).alias("may")).distinct()
     found = found.join(may, "path", "left")
     return finding(found, "R0003", F.when(F.col("may") & ~F.col("private_all"), MODERATE).otherwise(HIGH), F.concat(F.lit("Package '"), "id", F.lit("' is not used")))
 
@@ -70,18 +65,18 @@ def unused_project(facts: Facts) -> DataFrame:
     refs = refs.join(names, "ref_path").withColumn("private_all", F.coalesce("private_all", F.lit(False)))
     used = facts["used_assemblies"].select("path", "assembly").distinct()
     direct = refs.join(used.withColumnRenamed("assembly", "assembly_name"), ["path", "assembly_name"], "left_anti")
-    brings = flow(facts)
-    lost = direct.select("path", "ref_path").join(brings.withColumnRenamed("path", "ref_path"), "ref_path")
-    # what the project still gets by its packages and its other references
-    others = refs.select("path", F.col("ref_path").alias("other")).join(brings.withColumnRenamed("path", "other"), "other")
-    still = direct.select("path", "ref_path").join(others, "path").where("other <> ref_path").select("path", "ref_path", "assembly")
-    still = still.union(direct.select("path", "ref_path").join(facts["package_assemblies"].select("path", "assembly"), "path"))
-    needed = lost.join(still.distinct(), ["path", "ref_path", "assembly"], "left_anti").join(used, ["path", "assembly"], "left_semi").select("path", "ref_path")
-    theirs = used.select(F.col("path").alias("node"), "assembly")
-    passed = lost.join(consumers(facts).withColumnRenamed("root", "path"), "path").join(theirs, ["node", "assembly"], "left_semi").select("path", "ref_path").withColumn("private_all", F.lit(False))
+    brings = stage(flow(facts), "brings").withColumnRenamed("path", "ref_path")
+    # what the project uses and gets by one reference only, and by no package
+    got = refs.select("path", "ref_path").join(brings.hint("merge"), "ref_path").join(used, ["path", "assembly"], "left_semi")
+    only = got.groupBy("path", "assembly").agg(F.min("ref_path").alias("ref_path"), F.max("ref_path").alias("_other")).where("ref_path = _other")
+    needed = only.join(facts["package_assemblies"].select("path", "assembly"), ["path", "assembly"], "left_anti").select("path", "ref_path")
+    # what those use that get it from the project
+    theirs = facts.consumers.select(F.col("root").alias("path"), "node").join(used.withColumnRenamed("path", "node").hint("merge"), "node").select("path", "assembly").distinct()
+    lost = direct.where("not private_all").select("path", "ref_path").join(brings.hint("merge"), "ref_path")
+    passed = lost.join(theirs.hint("merge"), ["path", "assembly"], "left_semi").select("path", "ref_path").withColumn("private_all", F.lit(False))
     out = direct.join(needed, ["path", "ref_path"], "left_anti").join(passed, ["path", "ref_path", "private_all"], "left_anti")
     unloaded = facts["projects"].where("not is_loaded").select(F.col("path").alias("node"))
-    may = consumers(facts).join(unloaded, "node", "left_semi").select(F.col("root").alias("path"), F.lit(True).alias("may")).distinct()
+    may = facts.consumers.join(unloaded, "node", "left_semi").select(F.col("root").alias("path"), F.lit(True).alias("may")).distinct()
     out = out.join(may, "path", "left")
     return finding(out, "R0004", F.when(F.col("may") & ~F.col("private_all"), MODERATE).otherwise(HIGH), F.concat(F.lit("Project reference '"), "ref_path", F.lit("' is not used")))
 

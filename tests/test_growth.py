@@ -120,3 +120,14 @@ def test_rows_of_a_run_dont_grow_with_its_length(spark):
     made.collect()
     walk(made._jdf.queryExecution().executedPlan())
     assert rows and max(rows) <= 30 * 500
+
+
+def test_unused_project_walks_each_graph_once(spark, sf_dir, monkeypatch):
+    from lodeworks.rules import packages
+    from lodeworks.sources import facts
+
+    walks = []
+    for module in (packages, facts):
+        monkeypatch.setattr(module, "closure", lambda *a, f=module.closure, **k: walks.append(k) or f(*a, **k))
+    catalogue.QUERIES["rule_unused_project"](spark, sf_dir)
+    assert len(walks) == 2
